@@ -78,17 +78,10 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-class Encoder:
-    """Ids of texts as one array, with counts. Special tokens' strings in a text are ordinary text."""
+class PartEncoder:
+    """Ids of texts as one array, with counts, from the ids of parts that are kept by fingerprint and length."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        spec = json.loads(self.whole.to_str())
-        kind = spec.get("pre_tokenizer") or {}
-        self.cut = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and not spec.get("normalizer")
+    def __init__(self):
         self.clear()
 
     def clear(self) -> None:
@@ -96,15 +89,18 @@ class Encoder:
         self.ids, self.begins, self.counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         self.n_ids = self.n_parts = 0
 
-    def _library(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        each = [x.ids for x in self.whole.encode_batch_fast(parts, add_special_tokens=False)]
-        counts = np.fromiter(map(len, each), np.int64, len(each))
-        return np.fromiter((i for x in each for i in x), np.uint32, int(counts.sum())), counts
+    def parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes to encode, their row offsets, and where parts begin: at every row's start among others."""
+        raise NotImplementedError
+
+    def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, one after the other, and the count of each."""
+        raise NotImplementedError
 
     def _learn(self, parts: list[str]) -> np.ndarray:
         """Encodes parts; their indices."""
         for x in range(0, len(parts), 4096):
-            ids, counts = self._library(parts[x : x + 4096])
+            ids, counts = self.encode_parts(parts[x : x + 4096])
             self.begins.append(self.n_ids + np.cumsum(counts) - counts)
             self.ids.append(ids)
             self.counts.append(counts)
@@ -118,9 +114,7 @@ class Encoder:
         rows = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
-        if not self.cut:
-            return self._library([bytes(data[a:b]).decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
-        starts = cuts(data, offsets)
+        data, offsets, starts = self.parts(data, offsets)
         ends = np.append(starts[1:], len(data))
         hashes = fingerprints(data, starts, ends)
         long = ends - starts > LONGEST_KEPT
@@ -144,7 +138,7 @@ class Encoder:
         index[short] = found[codes]
         ids, begins, counts = self.ids[0], self.begins[0], self.counts[0]
         if long.any():
-            extra, extra_counts = self._library([bytes(data[starts[i] : ends[i]]).decode() for i in np.flatnonzero(long)])
+            extra, extra_counts = self.encode_parts([bytes(data[starts[i] : ends[i]]).decode() for i in np.flatnonzero(long)])
             begins = np.concatenate([begins, len(ids) + np.cumsum(extra_counts) - extra_counts])
             index[long] = len(counts) + np.arange(int(long.sum()))
             ids, counts = np.concatenate([ids, extra]), np.concatenate([counts, extra_counts])
@@ -155,6 +149,28 @@ class Encoder:
         return out, np.diff(totals)
 
 
+class Encoder(PartEncoder):
+    """By the tokenizers library. Special tokens' strings in a text are ordinary text."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        spec = json.loads(self.whole.to_str())
+        kind = spec.get("pre_tokenizer") or {}
+        self.cut = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and not spec.get("normalizer")
+
+    def parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return data, offsets, cuts(data, offsets) if self.cut else np.unique(offsets[offsets < len(data)])
+
+    def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [x.ids for x in self.whole.encode_batch_fast(parts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter((i for x in each for i in x), np.uint32, int(counts.sum())), counts
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One for each Python worker and file."""
