@@ -85,6 +85,8 @@ class Vocabulary:
             raise ValueError("only vocabularies with a piece for every byte are read")
         if any(MARK in self.pieces[k].lstrip(MARK) for k in self.normal):
             raise ValueError("a piece runs on into another word")
+        #: Sums of whole scores are exact until they take 24 bits; others are rounded each time.
+        self.whole_until = np.float64(1 << 24) if (self.scores == np.round(self.scores)).all() else 0.0
         self.unknown = np.float32(self.scores[self.normal].min() - np.float32(UNKNOWN_PENALTY))
         surface = [b"" if x not in (_NORMAL, _BYTE) else bytes([k - self.byte_ids[0]]) if x == _BYTE else p.replace(MARK, " ").encode() for k, (p, x) in enumerate(zip(self.pieces, kinds, strict=True))]
         self.lengths = np.array([len(x) for x in surface], np.int64)
@@ -261,7 +263,7 @@ class PieceCounter(_Words):
         self.automaton.make_automaton()
 
     def _count(self, word: str) -> int:
-        n, unknown = len(word), float(self.vocabulary.unknown)
+        n, unknown, whole = len(word), float(self.vocabulary.unknown), -float(self.vocabulary.whole_until)
         best, count = [0.0] * (n + 1), [0] * (n + 1)
         found: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         for end, match in self.automaton.iter(word):  # at each end from the longest to the shortest
@@ -270,7 +272,7 @@ class PieceCounter(_Words):
             top, own, single = None, 0, False
             for m, score in found[end]:
                 value = best[end - m] + score
-                if value <= -16777216.0:
+                if value <= whole or value > 0:
                     value = float(np.float32(value))
                 if top is None or value > top:
                     top, own = value, count[end - m] + 1

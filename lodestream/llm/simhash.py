@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import store, text_blocks
@@ -88,15 +88,16 @@ def fingerprint_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (a signed long of the same bits) of docs (doc_id, text)."""
+    """doc_id, fp (the fingerprint's bits as a signed long) and text_hash of docs (doc_id, text)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint_rows(data, offsets) for _, data, offsets in text_blocks(batch)]
             prints = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(rows, "doc_id long, fp long, text_hash long")
 
 
 @lru_cache(maxsize=1)
@@ -240,17 +241,33 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, tile: int = TILE, fine_from: int = FINE) -> DataFrame:
-    """Per document of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (least doc_id that it reaches)."""
+def _components(prints: DataFrame, least: Column, threshold: int, tile: int, fine_from: int) -> DataFrame:
+    """fp and chosen (the least of an expression over the rows of prints that are reached) of all distinct prints."""
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"the anchors cover up to {THRESHOLD} differing bits")
-    prints = store(fingerprints(docs), "fingerprints")
-    distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = store(prints.groupBy("fp").agg(F.min(least).alias("least")), "distinct")
     links = _links(distinct.select("fp"), threshold, distinct.count() >= fine_from, tile)
     roots = components(links)
     roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "least")
-    names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(names, "root").select("fp", "component_id")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = linked.groupBy("root").agg(F.min("least").alias("chosen"))
+    linked = linked.join(names, "root").select("fp", "chosen")
+    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("chosen", "least").alias("chosen"))
+
+
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, tile: int = TILE, fine_from: int = FINE) -> DataFrame:
+    """Per document of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (least doc_id that it reaches)."""
+    prints = store(fingerprints(docs), "fingerprints")
+    named = _components(prints, F.col("doc_id"), threshold, tile, fine_from)
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("chosen").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, threshold: int = THRESHOLD, tile: int = TILE, fine_from: int = FINE) -> DataFrame:
+    """The rows of docs, all columns, that stay when one of each component does: the one of the least doc_id, then hash of text."""
+    prints = store(fingerprints(docs), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    chosen = _components(prints, row, threshold, tile, fine_from)
+    kept = store(chosen.select(F.col("chosen.doc_id").alias("kept_id"), F.col("chosen.text_hash").alias("kept_hash")).distinct(), "kept")
+    keyed = docs.withColumns({"kept_id": F.col("doc_id").cast("long"), "kept_hash": F.xxhash64(F.col("text").cast("string"))})
+    on = keyed["kept_id"].eqNullSafe(kept["kept_id"]) & (keyed["kept_hash"] == kept["kept_hash"])
+    return keyed.join(kept, on, "left_semi").dropDuplicates(["kept_id", "kept_hash"]).drop("kept_id", "kept_hash")
