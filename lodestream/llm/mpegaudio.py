@@ -1,7 +1,7 @@
 """MPEG audio columns: frame headers, tags, variable-bitrate tables, checksums, durations and seek offsets.
 
-The reader takes any bytes: it skips ID3v2 and ID3v1 tags, finds frames again after junk (a header counts if a frame ends before
-it, or another header of its kind, a tag or the end follows its frame), parses Xing, Info and VBRI tables, checks the CRC of protected layer I and III
+The reader takes any bytes: it skips ID3v2 and ID3v1 tags, finds frames again after junk (a header counts if a frame or a tag ends
+before it, or another header of its kind, a tag or the end follows its frame), parses Xing, Info and VBRI tables, checks the CRC of protected layer I and III
 frames, and gives the duration in samples, the offset of the frame that holds each whole second, and the bytes that frames
 carry behind their side information.
 
@@ -175,13 +175,13 @@ def _table(data: memoryview, at: int, h: Header, out: Stream) -> bool:
 def parse(raw: bytes) -> Stream:
     """Everything in a byte string that may hold MPEG audio."""
     data, out = memoryview(raw), Stream()
-    end, at, second, synced = len(data), 0, 0, -1  # synced: where a frame has ended
+    end, at, second, synced = len(data), 0, 0, -1  # synced: where a frame or a tag has ended
     if end >= 128 and bytes(data[-128:-125]) == b"TAG":
         end -= 128
         out.tags["ID3v1"] = bytes(data[end + 3 : end + 33]).decode("latin-1").rstrip("\0 ")
     while at < end:
         if bytes(data[at : at + 3]) == b"ID3" and at + 10 <= end:
-            at = min(end, _id3v2(data, at, out.tags))
+            at = synced = min(end, _id3v2(data, at, out.tags))
             continue
         h = header(bytes(data[at : at + 4]))
         if h is not None and at + h.length <= end and (out.kind in (None, h.kind)):
