@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import REDACTED, SECRET_NAMES
 from ..operators.evaluation import benchmark_record, flattened, has_error, merged_record
+from ..operators.ordering import with_group_position
 from .tables import ContractError
 
 
@@ -22,6 +23,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", placed, "value").filter(F.trim("value") != "")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows of lines() with line as the place (from 0) in the file."""
+    return with_group_position(rows.withColumnRenamed("line", "_line"), "file", [F.col("_line")], "line").drop("_line")
+
+
 def predictions(spark: SparkSession, path: str) -> DataFrame:
     """line, id, row_index, prediction, failed and source_record (JSON) of a log; a line that is no JSON object is an error."""
     rows = lines(spark, path)

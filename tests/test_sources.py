@@ -123,6 +123,7 @@ def test_prediction_logs(spark, tmp_path):
     assert json.loads(logs.ground_truth(good).first()[0])["id"] == "a"
     with pytest.raises(ContractError):
         logs.scorer_input(good, "other")
+    assert [r["line"] for r in logs.numbered(logs.lines(spark, str(log))).orderBy("line").collect()] == [0, 1]
     log.write_text("[1]\n")
     with pytest.raises(ContractError, match="no object"):
         logs.predictions(spark, str(log))
