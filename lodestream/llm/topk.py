@@ -5,8 +5,8 @@ Every component of a vector is a term and its integer the weight. A block of can
 dense array of scores. Partition selection then keeps the k best of a block beside the k best so far, each task returns its own
 k best, and a partial and a final aggregate merge them.
 
-Queries go out in chunks of at most QUERIES rows, chosen by a hash of their identifier, so what is broadcast is bounded however
-many there are; each chunk passes over all candidates once and its result is stored.
+Queries go out in chunks of at most QUERIES rows and QUERY_NUMBERS numbers (32 MB), chosen by a hash of their identifier, so what
+is broadcast is bounded however many and however wide they are; each chunk passes over all candidates once and its result is stored.
 
 Defined results: a vector that is null, or holds a null, NaN or infinite component, takes no part, nor does a null vec_id; missing
 components of shorter vectors are zero; repeated candidates each take a place; repeated rows of a query are one query, by
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import store
 
-#: Queries that are broadcast at once, candidates whose scores are held at once.
+#: Queries that are broadcast at once and candidates whose scores are held at once, at most, and the numbers that either may have.
 QUERIES, BLOCK = 50_000, 8192
+QUERY_NUMBERS, BLOCK_NUMBERS = 1 << 22, 1 << 22
 _NONE = np.iinfo(np.int64).min
 
 
@@ -40,13 +41,13 @@ def integer_vectors(rows: DataFrame, scale: int = 256) -> DataFrame:
 
 
 def _dense(column: pa.ListArray, width: int) -> np.ndarray:
-    """Rows of integers of that width, zero where a row is shorter."""
+    """Rows of integers of that width: zero where a row is shorter, cut where it is longer."""
     n = np.asarray(pc.list_value_length(column), np.int64)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     out = np.zeros((len(n), width), np.int64)
-    if len(flat):
-        row = np.repeat(np.arange(len(n)), n)
-        out[row, np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
+    row, at = np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    kept = at < width
+    out[row[kept], at[kept]] = flat[kept]
     return out
 
 
@@ -107,24 +108,27 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, at_once: int = QUERIE
     """query_id, rank (from 1), vec_id and score of the k best candidates in vectors (vec_id, terms) for each row that queries selects."""
     spark = vectors.sparkSession
     asked = vectors.filter(queries).groupBy("vec_id").agg(F.min("terms").alias("terms"))
-    chunks = max(1, -(-asked.count() * 5 // (4 * at_once)))  # a fifth to spare for uneven hashing
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("terms")), F.lit(0)).alias("width")).first()
+    width = max(1, size["width"])
+    at_once = max(1, min(at_once, QUERY_NUMBERS // width))
+    chunks = max(1, -(-size["n"] * 5 // (4 * at_once)))  # a fifth to spare for uneven hashing
     schema, parts = "query_id long, vec_id long, score long", []
     for c in range(chunks):
         own = asked if chunks == 1 else asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c)
         rows = own.toArrow()
         if not rows.num_rows:
             continue
-        width = max(pc.max(pc.list_value_length(rows.column("terms"))).as_py() or 0, 1)
         sent = spark.sparkContext.broadcast((rows.column("vec_id").to_numpy(), _dense(rows.column("terms").combine_chunks(), width)))
 
-        def score(batches: Iterator[pa.RecordBatch], sent=sent, width=width) -> Iterator[pa.RecordBatch]:
+        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             best = Accumulator(*sent.value, k)
             held: list[pa.RecordBatch] = []
+            block = max(1, min(BLOCK, BLOCK_NUMBERS // width))
             for batch in batches:
                 held.append(batch)
-                if sum(b.num_rows for b in held) >= BLOCK:
-                    _flush(best, held, width)
-            _flush(best, held, width)
+                if sum(b.num_rows for b in held) >= block:
+                    _flush(best, held, width, block)
+            _flush(best, held, width, block)
             q, place = np.nonzero(best.scores != _NONE)
             for x in range(0, len(q), 65536):
                 i, j = q[x : x + 65536], place[x : x + 65536]
@@ -147,12 +151,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, at_once: int = QUERIE
     return out
 
 
-def _flush(best: Accumulator, held: list[pa.RecordBatch], width: int) -> None:
+def _flush(best: Accumulator, held: list[pa.RecordBatch], width: int, block: int) -> None:
     for batch in held:
-        for x in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(x, BLOCK)
-            if part.num_rows:
-                terms = part.column(1)
-                own = max(width, pc.max(pc.list_value_length(terms)).as_py() or 0)
-                best.add(part.column(0).to_numpy(zero_copy_only=False), _dense(terms, own)[:, :width])
+        for x in range(0, batch.num_rows, block):
+            part = batch.slice(x, block)
+            best.add(part.column(0).to_numpy(zero_copy_only=False), _dense(part.column(1), width))
     held.clear()

@@ -57,3 +57,10 @@ def test_nothing_to_search(spark):
 def test_scores_beyond_64_bits_are_refused(spark):
     with pytest.raises(Exception, match="64 bits"):
         found(spark, [(0, [1e12]), (1, [1e12])])
+
+
+def test_wide_vectors_go_out_in_more_chunks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_NUMBERS", 6)
+    monkeypatch.setattr(topk, "BLOCK_NUMBERS", 9)
+    rows = [(k, [0.25 * (k % 7), -0.5, 1.0][: 1 + k % 3]) for k in range(260)]
+    assert found(spark, rows) == plain(rows)
