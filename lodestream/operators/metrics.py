@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import with_position
+from .ordering import running_sum
 
 
 def token_nll(df: DataFrame, by: str, loss: str, tokens: str) -> DataFrame:
@@ -27,16 +27,16 @@ def exact_quantiles(df: DataFrame, value: str, shares: list[float], rule: str =
     """share and value at index (n - 1) * share of the sorted values: rounded half to even, or cut."""
     if rule not in ("round", "floor"):
         raise ValueError(f"unknown rule: {rule}")
-    placed = with_position(df.select(value).filter(F.col(value).isNotNull()), [F.col(value)], "_rank")
-    n = placed.count()
-    at: dict[int, list[float]] = {}
-    for q in shares if n else []:
-        at.setdefault(round((n - 1) * q) if rule == "round" else min(n - 1, math.floor(q * (n - 1))), []).append(q)
-    if not at:
+    # Counts by value add up before the shuffle, so a value that most rows have is one row here.
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    placed = running_sum(counts, [F.col(value)], "_n", "_end")
+    n = placed.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    if not n:
         return df.sparkSession.createDataFrame([], f"share double, {value} {df.schema[value].dataType.simpleString()}")
-    found = placed.filter(F.col("_rank").isin(list(at)))
-    shares_at = F.create_map(*[x for k, v in at.items() for x in (F.lit(k).cast("long"), F.array(*map(F.lit, v)))])
-    return found.select(F.explode(shares_at[F.col("_rank")]).alias("share"), value)
+    at = [(q, round((n - 1) * q) if rule == "round" else min(n - 1, math.floor(q * (n - 1)))) for q in shares]
+    wanted = F.array(*(F.struct(F.lit(q).alias("share"), F.lit(k).cast("long").alias("at")) for q, k in at))
+    here = F.filter(wanted, lambda w: (w["at"] < F.col("_end")) & (w["at"] >= F.col("_end") - F.col("_n")))
+    return placed.select(F.explode(here).alias("w"), value).select(F.col("w.share").alias("share"), value)
 
 
 def macro_mean(df: DataFrame, category: str, value: Column) -> DataFrame:

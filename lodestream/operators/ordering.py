@@ -26,17 +26,18 @@ def _sorted_parts(df: DataFrame, order: list[Column], name: str) -> tuple[DataFr
     return rows, counts
 
 
-def _per_part(values: dict[int, int]) -> Column:
-    """A value for each partition as an expression."""
-    entries = [F.lit(x) for k, v in values.items() for x in (k, v)]
-    return F.create_map(*entries)[F.col("_part")] if entries else F.lit(0).cast("long")
+def _with_part(rows: DataFrame, values: dict[int, object], name: str, kind: str = "bigint") -> DataFrame:
+    """rows with a value for their partition; there is one row a partition to broadcast."""
+    found = rows.sparkSession.createDataFrame(sorted(values.items()), f"_part bigint, {name} {kind}")
+    return rows.join(F.broadcast(found), "_part", "left")
 
 
 def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """df with each row's place (from 0) in the given order, which must be total."""
     rows, counts = _sorted_parts(df, order, name)
     before = dict(zip((p for p, _ in counts), accumulate((n for _, n in counts), initial=0), strict=False))
-    return rows.withColumn(name, (F.col("_at") + _per_part(before)).cast("long")).drop("_part", "_at")
+    placed = _with_part(rows, before, "_before").withColumn(name, (F.col("_at") + F.col("_before")).cast("long"))
+    return placed.select(*df.columns, name)
 
 
 def with_group_position(df: DataFrame, group: str, order: list[Column], name: str = "position") -> DataFrame:
@@ -54,10 +55,19 @@ def running_min(df: DataFrame, order: list[Column], value: str, name: str = "bes
     for part in sorted(least):
         before[part] = now
         now = min((x for x in (now, least[part]) if x is not None), default=None)
-    carried = {k: v for k, v in before.items() if v is not None}
     own = F.min(value).over(W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
-    earlier = F.create_map(*[F.lit(x) for k, v in carried.items() for x in (k, v)])[F.col("_part")] if carried else F.lit(None)
-    return rows.withColumn(name, F.least(own, earlier.cast(df.schema[value].dataType))).drop("_part", "_at")
+    kind = df.schema[value].dataType.simpleString()
+    return _with_part(rows.withColumn("_own", own), before, "_before", kind).withColumn(name, F.least("_own", "_before")).select(*df.columns, name)
+
+
+def running_sum(df: DataFrame, order: list[Column], value: str, name: str = "total") -> DataFrame:
+    """df with the sum of the values up to and with each row in the given order."""
+    rows, _ = _sorted_parts(df, order, name)
+    sums = {r["_part"]: r["s"] or 0 for r in rows.groupBy("_part").agg(F.sum(value).alias("s")).collect()}
+    before = dict(zip(sorted(sums), accumulate((sums[p] for p in sorted(sums)), initial=0), strict=False))
+    own = F.sum(value).over(W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
+    placed = _with_part(rows.withColumn("_own", F.coalesce(own, F.lit(0))), before, "_before", rows.agg(F.sum(value).alias("s")).schema["s"].dataType.simpleString())
+    return placed.withColumn(name, F.col("_own") + F.col("_before")).select(*df.columns, name)
 
 
 def shuffled(df: DataFrame, seed: int, epoch: int, *keys: str, name: str = "position") -> DataFrame:

@@ -63,6 +63,18 @@ def test_running_minimum(spark):
     assert found == [5, 5, 5, 3, 3, 3, 3, 1]
 
 
+def test_running_sum(spark):
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate([5, 7, None, 3])], "k long, v long").repartition(3)
+    assert [r["total"] for r in ordering.running_sum(rows, [F.col("k")], "v").orderBy("k").collect()] == [5, 12, 12, 15]
+
+
+def test_quantiles_of_a_hot_value(spark):
+    rows = spark.createDataFrame([(7,)] * 90 + [(k,) for k in range(10)] + [(None,)], "v int").repartition(5)
+    want = sorted([7] * 90 + list(range(10)))
+    found = {r["share"]: r["v"] for r in metrics.exact_quantiles(rows, "v", [0.0, 0.05, 0.5, 0.99, 1.0]).collect()}
+    assert found == {q: want[round(99 * q)] for q in (0.0, 0.05, 0.5, 0.99, 1.0)}
+
+
 def test_orders_keep_each_row_once(spark):
     rows = spark.createDataFrame([(k, f"s{k % 3 if k % 2 else 0}") for k in range(200)], "k long, s string")
     a, b = ordering.shuffled(rows, 1, 0, "k").collect(), ordering.shuffled(rows.repartition(5), 1, 0, "k").collect()
