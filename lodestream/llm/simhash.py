@@ -267,7 +267,9 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD, tile: int = TILE, fine
     prints = store(fingerprints(docs), "fingerprints")
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     chosen = _components(prints, row, threshold, tile, fine_from)
-    kept = store(chosen.select(F.col("chosen.doc_id").alias("kept_id"), F.col("chosen.text_hash").alias("kept_hash")).distinct(), "kept")
-    keyed = docs.withColumns({"kept_id": F.col("doc_id").cast("long"), "kept_hash": F.xxhash64(F.col("text").cast("string"))})
-    on = keyed["kept_id"].eqNullSafe(kept["kept_id"]) & (keyed["kept_hash"] == kept["kept_hash"])
-    return keyed.join(kept, on, "left_semi").dropDuplicates(["kept_id", "kept_hash"]).drop("kept_id", "kept_hash")
+    # Without nulls the join and the last step share one exchange of the texts.
+    key = {"kept_named": F.col("doc_id").isNotNull(), "kept_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))}
+    kept = store(chosen.select("chosen.*").withColumns(key).select(*key, F.col("text_hash").alias("kept_hash")).distinct(), "kept")
+    keyed = docs.withColumns({**key, "kept_hash": F.xxhash64(F.col("text").cast("string"))})
+    names = [*key, "kept_hash"]
+    return keyed.join(kept, names, "left_semi").dropDuplicates(names).drop(*names)
