@@ -81,6 +81,9 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class PartEncoder:
     """Ids of texts as one array, with counts, from the ids of parts that are kept by fingerprint and length."""
 
+    #: Parts that are encoded at once.
+    at_once = 4096
+
     def __init__(self):
         self.clear()
 
@@ -99,8 +102,8 @@ class PartEncoder:
 
     def _learn(self, parts: list[str]) -> np.ndarray:
         """Encodes parts; their indices."""
-        for x in range(0, len(parts), 4096):
-            ids, counts = self.encode_parts(parts[x : x + 4096])
+        for x in range(0, len(parts), self.at_once):
+            ids, counts = self.encode_parts(parts[x : x + self.at_once])
             self.begins.append(self.n_ids + np.cumsum(counts) - counts)
             self.ids.append(ids)
             self.counts.append(counts)

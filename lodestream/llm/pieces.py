@@ -39,6 +39,8 @@ _NORMAL, _BYTE = 1, 6
 UNKNOWN_PENALTY = 10.0
 #: Words of more characters advance alone.
 _LONG = 192
+#: Characters of words that advance together.
+_TOGETHER = 1 << 17
 
 
 def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -104,6 +106,8 @@ class Vocabulary:
 class _Words(PartEncoder):
     """Cuts text into words; every row begins with a mark, written as a space."""
 
+    at_once = 1 << 16
+
     def parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if (data == _MARK_BYTES[0]).any() and _MARK_BYTES in (raw := data.tobytes()):
             rows = [raw[a:b].replace(_MARK_BYTES, b" ") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -139,7 +143,7 @@ class PieceEncoder(_Words):
             self.powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(self.longest, _BASE))])
             keys, own = [], []
             for n, ks in by_length.items():
-                keys.append(self._mixed(self._prefixes(_points([v.pieces[k] for k in ks]))[n], n))
+                keys.append(self._mixed(self._prefixes(_points([v.pieces[k] for k in ks]))[n], np.uint64(n)))
                 own.append(ks)
         keys, own = np.concatenate(keys), np.concatenate(own)
         order = np.argsort(keys)
@@ -163,13 +167,13 @@ class PieceEncoder(_Words):
         return out
 
     @staticmethod
-    def _mixed(h: np.ndarray, n: int) -> np.ndarray:
-        return (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(n)
+    def _mixed(h: np.ndarray, n: np.ndarray | np.uint64) -> np.ndarray:
+        return (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) + n
 
-    def _probe(self, ends: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the substrings of n characters between these prefixes are pieces, and their ids."""
+    def _probe(self, ends: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the substrings of these sizes between these prefixes are pieces (places in the flat array), and their ids."""
         with np.errstate(over="ignore"):
-            keys = self._mixed(ends - starts * self.powers[n], n)
+            keys = self._mixed(ends - starts * self.powers[sizes], sizes.astype(np.uint64)).reshape(-1)
         hit = np.flatnonzero(self.leading[keys >> np.uint64(44)])
         keys = keys[hit]
         place = np.minimum(np.searchsorted(self.piece_keys, keys), len(self.piece_keys) - 1)
@@ -182,8 +186,9 @@ class PieceEncoder(_Words):
             by_length.setdefault(len(word), []).append(k)
         each: list = [None] * len(parts)
         for n, ks in by_length.items():
-            for x in range(0, len(ks), 2048):
-                own = ks[x : x + 2048]
+            step = max(1, _TOGETHER // n)
+            for x in range(0, len(ks), step):
+                own = ks[x : x + step]
                 points = _points([parts[k] for k in own])
                 if n > _LONG:
                     found = [self._alone(row) for row in points]
@@ -202,15 +207,14 @@ class PieceEncoder(_Words):
         last, size = np.zeros((n + 1, rows), np.int32), np.zeros((n + 1, rows), np.int32)
         every = np.arange(rows)
         for end in range(1, n + 1):
-            sizes = range(min(end, self.longest), 0, -1)  # the longest first, as a maximum takes the first of equals
-            value, piece = np.full((len(sizes), rows), -np.inf, np.float32), np.full((len(sizes), rows), -1, np.int32)
+            low = max(0, end - self.longest)  # the longest first, as a maximum takes the first of equals
+            value, piece = np.full((end - low, rows), -np.inf, np.float32), np.full((end - low, rows), -1, np.int32)
             value[-1] = best[end - 1] + unknown
-            for k, m in enumerate(sizes):
-                there, ids = self._probe(prefixes[end], prefixes[end - m], m)
-                piece[k, there] = ids
-                value[k, there] = best[end - m, there] + scores[ids]
+            there, ids = self._probe(prefixes[end], prefixes[low:end], np.arange(end - low, 0, -1)[:, None])
+            piece.reshape(-1)[there] = ids
+            value.reshape(-1)[there] = best[low:end].reshape(-1)[there] + scores[ids]
             pick = value.argmax(0)
-            best[end], last[end], size[end] = value[pick, every], piece[pick, every], sizes[0] - pick
+            best[end], last[end], size[end] = value[pick, every], piece[pick, every], end - low - pick
         out: list[list[int]] = [[] for _ in range(rows)]
         at, live = np.full(rows, n), every
         while len(live):
@@ -230,7 +234,7 @@ class PieceEncoder(_Words):
         n, prefixes = len(points), self._prefixes(points[None, :])[:, 0]
         found: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
         for m in range(min(n, self.longest), 0, -1):
-            for s, piece in zip(*(x.tolist() for x in self._probe(prefixes[m:], prefixes[: n - m + 1], m)), strict=True):
+            for s, piece in zip(*(x.tolist() for x in self._probe(prefixes[m:], prefixes[: n - m + 1], np.array([m]))), strict=True):
                 found[s + m].append((m, piece))
         best, last, scores = np.zeros(n + 1, np.float32), [(0, -1)] * (n + 1), self.vocabulary.scores
         for end in range(1, n + 1):
