@@ -34,14 +34,14 @@ def _byte_values() -> np.ndarray:
     return np.random.default_rng(42).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of the slices [start, end) of data, equal for equal slices."""
+def fingerprints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+    """64-bit fingerprints of the slices [start, end) of data, equal for equal slices; values are those of data's items, bytes if not given."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     powers, inverses = _powers(1 << max(20, int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(_byte_values()[data] * powers[: len(data)], out=sums[1:])
+        np.cumsum((_byte_values() if values is None else values)[data] * powers[: len(data)], out=sums[1:])
         h = (sums[ends] - sums[starts]) * inverses[starts]
         h ^= h >> np.uint64(29)
         h = h * np.uint64(0xBF58476D1CE4E5B9) + (ends - starts).astype(np.uint64) * np.uint64(0x94D049BB133111EB)

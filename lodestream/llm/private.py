@@ -6,6 +6,10 @@ term that occurs beside that entity alone and 0 for one that says nothing of it.
 seen in enough different contexts (so that copies of one passage count once), is generalised or, from a higher one, removed,
 wherever it occurs.
 
+A term is a run of letters, marks, digits and connectors of any script, compared under Unicode's full case folding; soft hyphens
+and joiners inside it don't count. Scripts written without spaces have no such runs: there every run of up to GRAMS code points is
+a term, so that a longer name is found by its parts.
+
 Counts cover all documents. Of the terms only a bitmap of fixed size and, up to BROADCAST_TERMS, the disclosing ones are sent
 to executors; beyond that they are joined.
 
@@ -17,9 +21,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +38,8 @@ from .common import store, text_blocks
 KINDS = ("email", "ip", "card", "phone")
 #: Code points on either side of a mention, and words of them, that are its context.
 CONTEXT_CHARS, CONTEXT_WORDS = 160, 8
+#: Code points of the longest term in a script without spaces.
+GRAMS = 4
 #: Different contexts that must show a term beside an entity.
 SUPPORT = 3
 #: Disclosure from which a term is generalised, and from which it is removed.
@@ -45,16 +53,35 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TERM = re.compile("[0-9A-Za-z_\u0080-\U0010ffff]+")
 
 _MARKS = np.zeros(256, bool)
 _MARKS[[ord("@"), *range(48, 58)]] = True
-_WORD = np.zeros(256, bool)
-_WORD[[95, *range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_ALPHA = np.zeros(256, bool)
-_ALPHA[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+
+# Code points from _PLANES on hold no letters; those from _IDEOGRAPHS on are ideographs.
+_IDEOGRAPHS, _PLANES = 0x20000, 0x40000
+_BETWEEN, _SPACED, _UNSPACED, _AS_BEFORE = range(4)
+_SCRIPTS = ("CJK ", "IDEOGRAPHIC ", "HIRAGANA ", "KATAKANA", "HALFWIDTH KATAKANA", "HENTAIGANA ", "BOPOMOFO ", "THAI ", "LAO ", "KHMER ", "MYANMAR ", "TAI ", "NEW TAI LUE ", "JAVANESE ", "BALINESE ")
+#: Soft hyphen, non-joiner, joiner, word joiner, no-break space of no width.
+_IGNORED = (0xAD, 0x200C, 0x200D, 0x2060, 0xFEFF)
+
+
+@lru_cache(maxsize=1)
+def _code_points() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: its place in terms, the length of its folded form, that form, and a value for fingerprints."""
+    place, length = np.zeros(_PLANES + 1, np.int8), np.ones(_PLANES + 1, np.int64)
+    forms = np.repeat(np.arange(_PLANES + 1, dtype=np.uint32)[:, None], 3, axis=1)
+    place[_IDEOGRAPHS:_PLANES] = _UNSPACED
+    for k in range(_IDEOGRAPHS):
+        c = chr(k)
+        kind = unicodedata.category(c)
+        if kind[0] in "LMN" or kind == "Pc":
+            own = unicodedata.name(c, "").startswith(_SCRIPTS)
+            place[k] = _UNSPACED if own else _AS_BEFORE if kind[0] == "M" else _SPACED
+        if (folded := c.casefold()) != c:
+            length[k] = len(folded)
+            forms[k, : len(folded)] = [ord(x) for x in folded]
+    place[list(_IGNORED)], length[list(_IGNORED)] = _AS_BEFORE, 0
+    return place, length, forms, np.random.default_rng(43).integers(1, 1 << 63, _PLANES + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -124,44 +151,80 @@ def _merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def _contexts(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """Entity, term, a hash of the context, and how often the term occurs in it (an occurrence counts once for an entity)."""
+def _near(starts: np.ndarray, ends: np.ndarray, a: int, b: int) -> list[int]:
+    """The terms of the context of a mention from a to b."""
+    left = np.arange(*np.searchsorted(starts, [a - CONTEXT_CHARS, a]))
+    left = left[ends[left] <= a]
+    right = np.arange(*np.searchsorted(starts, [b, b + CONTEXT_CHARS]))
+    right = right[ends[right] <= b + CONTEXT_CHARS]
+    first, last = np.unique(starts[left])[-CONTEXT_WORDS:], np.unique(starts[right])[:CONTEXT_WORDS]
+    return [*left[np.isin(starts[left], first)].tolist(), *right[np.isin(starts[right], last)].tolist()]
+
+
+def _contexts(text: str, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[str, str, int, int]]:
+    """Entity, term, a hash of the context, and how often the term occurs in it (an occurrence counts once for an entity).
+
+    starts and ends are those of the text's terms.
+    """
     spans = base_spans(text)
-    starts, ends = _merged(spans)
+    lows, highs = _merged(spans)
     met: set[tuple[str, int]] = set()
     for kind, a, b in spans:
         entity = f"{kind}:{text[a:b].lower()}"
-        low, high = max(0, a - CONTEXT_CHARS), min(len(text), b + CONTEXT_CHARS)
-        left = [x for x in _TERM.finditer(text, low, a) if x.start() > low or low == 0][-CONTEXT_WORDS:]
-        right = [x for x in _TERM.finditer(text, b, high) if x.end() < high or high == len(text)][:CONTEXT_WORDS]
-        words = [(x.start(), x[0]) for x in left + right if (k := bisect_right(starts, x.start()) - 1) < 0 or ends[k] <= x.start()]
-        about = int.from_bytes(hashlib.blake2b(" ".join(x for _, x in words).encode(), digest_size=8).digest(), "little", signed=True)
-        for at, word in words:
-            term = word.encode().translate(_LOWER.tobytes()).decode()
-            if len(term) > 2 and not term.isdigit() and (entity, at) not in met:
-                met.add((entity, at))
+        near = [(k, text[starts[k] : ends[k]]) for k in _near(starts, ends, a, b) if (i := bisect_right(lows, ends[k] - 1) - 1) < 0 or highs[i] <= starts[k]]
+        about = int.from_bytes(hashlib.blake2b(" ".join(x for _, x in near).encode(), digest_size=8).digest(), "little", signed=True)
+        for k, word in near:
+            term = _folded(word)
+            if len(term) > 2 and not term.isdigit() and (entity, k) not in met:
+                met.add((entity, k))
                 yield entity, term, about, 1
 
 
-def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and fingerprints of all terms of a block."""
-    word = _WORD[data]
-    begin = word.copy()
-    begin[1:] &= ~word[:-1]
-    first = offsets[:-1][offsets[:-1] < len(data)]
-    begin[first] |= word[first]
-    end = np.concatenate([word, [False]])[1:] == 0
-    last = offsets[1:][offsets[1:] > 0] - 1
-    end &= word
-    end[last] |= word[last]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    return starts, ends, fingerprints(_LOWER[data], starts, ends)
+def _folded(word: str) -> str:
+    return word.casefold().translate(dict.fromkeys(_IGNORED))
+
+
+def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends (code points of the block) and fingerprints of all terms of a block, and where its rows begin and end."""
+    place, length, forms, values = _code_points()
+    points = np.minimum(np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4"), _PLANES).astype(np.int64)
+    n = len(points)
+    rows = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    kind = place[points]
+    first = rows[rows < n]
+    kind[first] = np.where(kind[first] == _AS_BEFORE, _BETWEEN, kind[first])
+    kind = kind[np.maximum.accumulate(np.where(kind != _AS_BEFORE, np.arange(n), 0))]
+    edge = np.ones(n + 1, bool)
+    edge[1:-1] = kind[1:] != kind[:-1]
+    edge[rows] = True
+    bounds = np.flatnonzero(edge)
+    starts, ends = bounds[:-1], bounds[1:]
+    own = kind[starts]
+    if (own == _UNSPACED).any():
+        a, b = starts[own == _UNSPACED], ends[own == _UNSPACED]
+        at, stop = np.flatnonzero(kind == _UNSPACED), np.repeat(b, b - a)
+        grams = [(at[at + k <= stop], k) for k in range(1, GRAMS + 1)]
+        starts = np.concatenate([starts[own == _SPACED], *(x for x, _ in grams)])
+        ends = np.concatenate([ends[own == _SPACED], *(x + k for x, k in grams)])
+        order = np.lexsort((ends, starts))
+        starts, ends = starts[order], ends[order]
+    else:
+        starts, ends = starts[own == _SPACED], ends[own == _SPACED]
+    widths = length[points]
+    if (widths == 1).all():
+        return starts, ends, fingerprints(forms[points, 0], starts, ends, values), rows
+    to = np.concatenate([[0], np.cumsum(widths)])
+    solid = to[ends] > to[starts]
+    starts, ends = starts[solid], ends[solid]
+    each = np.repeat(np.arange(n), widths)
+    folded = forms[points[each], np.arange(len(each)) - to[each]]
+    return starts, ends, fingerprints(folded, to[starts], to[ends], values), rows
 
 
 def _term_hash(terms: list[str]) -> np.ndarray:
-    raw = [x.encode() for x in terms]
-    stops = np.cumsum([len(x) for x in raw], dtype=np.int64)
-    return fingerprints(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], stops[:-1]]).astype(np.int64), stops) if raw else np.zeros(0, np.uint64)
+    stops = np.cumsum([len(x) for x in terms], dtype=np.int64)
+    points = np.frombuffer("".join(terms).encode("utf-32-le"), "<u4")
+    return fingerprints(points, np.concatenate([[0], stops[:-1]]).astype(np.int64), stops, _code_points()[3])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -176,9 +239,12 @@ def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, support: i
         for batch in batches:
             total, found = 0, Counter()
             for _, data, offsets in text_blocks(batch):
-                total += len(_terms(data, offsets)[0])
+                starts, ends, _, begins = _terms(data, offsets)
+                total += len(starts)
+                edges = np.searchsorted(starts, begins)
                 for k in np.flatnonzero(_marked(data, offsets)):
-                    for entity, term, about, n in _contexts(data[offsets[k] : offsets[k + 1]].tobytes().decode()):
+                    own = slice(edges[k], edges[k + 1])
+                    for entity, term, about, n in _contexts(data[offsets[k] : offsets[k + 1]].tobytes().decode(), starts[own] - begins[k], ends[own] - begins[k]):
                         found[entity, term, about] += n
             rows = [(*k, n) for k, n in found.items() if n] + [("", "", 0, total)]
             entity, term, about, n = zip(*rows, strict=True)
@@ -214,25 +280,32 @@ def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, support: i
 
 def _hits(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
     """Rows with terms of keys (ascending): the row, and start, end (code points) and index of the key of each."""
-    starts, ends, hashes = _terms(data, offsets)
+    starts, ends, hashes, begins = _terms(data, offsets)
     hashes = hashes.view(np.int64)
     place = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
     hit = np.flatnonzero(keys[place] == hashes)
     if not len(hit):
         return
-    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    rows = np.searchsorted(offsets, starts[hit], side="right") - 1
-    base = points[offsets[rows]]
-    a, b = (points[starts[hit]] - base).tolist(), (points[ends[hit]] - base).tolist()
+    rows = np.searchsorted(begins, starts[hit], side="right") - 1
+    a, b = (starts[hit] - begins[rows]).tolist(), (ends[hit] - begins[rows]).tolist()
     edges = [0, *(np.flatnonzero(np.diff(rows)) + 1).tolist(), len(hit)]
     for x, y in zip(edges[:-1], edges[1:], strict=True):
         yield int(rows[x]), list(zip(a[x:y], b[x:y], place[hit[x:y]].tolist(), strict=True))
 
 
-def _outside(terms: list[tuple[int, int, int]], spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int]]:
-    """The terms that touch no span."""
+def _outside(terms: list[tuple[int, int, int]], spans: list[tuple[str, int, int]], shares: np.ndarray) -> list[tuple[int, int, int]]:
+    """The terms that touch no span; those that overlap become one, with the highest disclosure of them."""
     starts, ends = _merged(spans)
-    return [(a, b, k) for a, b, k in terms if (i := bisect_right(starts, b - 1) - 1) < 0 or ends[i] <= a]
+    out: list[tuple[int, int, int]] = []
+    for a, b, k in terms:
+        if (i := bisect_right(starts, b - 1) - 1) >= 0 and ends[i] > a:
+            continue
+        if out and a < out[-1][1]:
+            low, high, own = out[-1]
+            out[-1] = low, max(high, b), k if shares[k] > shares[own] else own
+        else:
+            out.append((a, b, k))
+    return out
 
 
 def _written(text: str, spans: list[tuple[str, int, int]], terms: list[tuple[int, int, int]], shares: np.ndarray, remove: float) -> str:
@@ -278,11 +351,11 @@ class Sanitiser:
                 shares = np.array([s for x in each for _, _, s in x])
                 k = 0
                 for i, x in enumerate(each):
-                    terms[i] = _outside([(a, b, k + j) for j, (a, b, _) in enumerate(x)], spans[i])
+                    terms[i] = _outside([(a, b, k + j) for j, (a, b, _) in enumerate(x)], spans[i], shares)
                     k += len(x)
             elif len(self.keys):
                 for i, x in _hits(data, offsets, self.keys):
-                    terms[i] = _outside(x, spans[i])
+                    terms[i] = _outside(x, spans[i], shares)
             yield (row, n), spans, terms, shares
 
     def located(self, docs: DataFrame) -> DataFrame:

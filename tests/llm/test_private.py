@@ -57,3 +57,15 @@ def test_terms_beyond_the_broadcast_are_joined(spark, monkeypatch):
 def test_empty_table(spark):
     none = spark.createDataFrame([], DOC)
     assert sanitiser(none).spans(none).count() == 0
+
+
+def test_terms_end_at_typographic_marks_and_in_scripts_without_spaces(spark):
+    rows = planted() + [(500 + k, f"{prose(2000 + k, 30)} 请联系王小明 wang@example.org {prose(3000 + k, 30)}") for k in range(6)]
+    odd = ["a “Zorblat” b", "a Zorblat’s b", "a Zorblat—who b", "a Zorblat…b", "ZOR­BLAT", "昨日Zorblat来", "昨天王小明来了，"]
+    docs = spark.createDataFrame(rows + [(900 + k, t) for k, t in enumerate(odd)], DOC)
+    own = sanitiser(docs)
+    texts = {r["doc_id"]: r["text"] for r in own.sanitise(docs).collect()}
+    assert not any("zorblat" in texts[900 + k].replace("­", "").lower() for k in range(6))
+    assert "王小明" not in texts[906] and texts[906].startswith("昨天") and texts[906].endswith("来了，")
+    spans = {r["doc_id"]: r["spans"] for r in own.spans(docs).collect()}
+    assert spans[900] == "term:3:10" and spans[902] == "term:2:9" and spans[906] == "term:2:5"
