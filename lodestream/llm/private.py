@@ -175,7 +175,7 @@ def _contexts(text: str, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple
         about = int.from_bytes(hashlib.blake2b(" ".join(x for _, x in near).encode(), digest_size=8).digest(), "little", signed=True)
         for k, word in near:
             term = _folded(word)
-            if len(term) > 2 and not term.isdigit() and (entity, k) not in met:
+            if (entity, k) not in met:
                 met.add((entity, k))
                 yield entity, term, about, 1
 

@@ -69,3 +69,13 @@ def test_terms_end_at_typographic_marks_and_in_scripts_without_spaces(spark):
     assert "王小明" not in texts[906] and texts[906].startswith("昨天") and texts[906].endswith("来了，")
     spans = {r["doc_id"]: r["spans"] for r in own.spans(docs).collect()}
     assert spans[900] == "term:3:10" and spans[902] == "term:2:9" and spans[906] == "term:2:5"
+
+
+def test_short_terms_and_numbers_are_judged_like_others(spark):
+    rows = planted() + [(600 + k, f"{prose(4000 + k, 30)} ask Li of account 48213 at desk@example.org today {prose(5000 + k, 30)}") for k in range(6)]
+    docs = spark.createDataFrame([*rows, (910, "a note by Li on 48213")], DOC)
+    own = sanitiser(docs)
+    spans = {r["doc_id"]: r["spans"] for r in own.spans(docs).collect()}
+    assert spans[910].endswith("term:10:12,term:16:21")
+    text = {r["doc_id"]: r["text"] for r in own.sanitise(docs).collect()}[910]
+    assert "Li" not in text and "48213" not in text
