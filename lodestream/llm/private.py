@@ -1,10 +1,12 @@
 """Information-theoretic sanitisation of personal data.
 
-Addresses, numbers and cards are found by pattern. They are the protected entities: from all documents, the terms in the
-contexts of each entity are counted, and a term's disclosure of an entity is PMI(entity; term) / IC(entity), which is 1 for a
-term that occurs beside that entity alone and 0 for one that says nothing of it. A term whose disclosure reaches a threshold,
-seen in enough different contexts (so that copies of one passage count once), is generalised or, from a higher one, removed,
-wherever it occurs.
+Addresses, numbers and cards are found by pattern. They are the protected entities: for each entity that occurs often enough, all
+terms of all documents that show it are counted, and a term's disclosure of an entity is PMI(entity; term) / IC(entity), which is 1
+for a term that occurs with that entity alone and 0 for one that says nothing of it. It is taken twice, and the higher one holds:
+over the words next to a mention (as many as CONTEXT_WORDS on a side) and over whole documents, where the entity's share is that of
+the documents showing it. A term whose disclosure reaches a threshold, seen in enough different contexts, is generalised or, from a
+higher one, removed, wherever it occurs. A context is the passage that spans a mention's next words and the term, so that copies
+of one passage count once; a term has one for each mention that is the nearest to it. Terms inside entities aren't counted.
 
 A term is a run of letters, marks, digits and connectors of any script, compared under Unicode's full case folding; soft hyphens
 and joiners inside it don't count. Scripts written without spaces have no such runs: there every run of up to GRAMS code points is
@@ -29,15 +31,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import fingerprints
 from .common import store, text_blocks
 
 KINDS = ("email", "ip", "card", "phone")
-#: Code points on either side of a mention, and words of them, that are its context.
-CONTEXT_CHARS, CONTEXT_WORDS = 160, 8
+#: Words on either side of a mention that are next to it.
+CONTEXT_WORDS = 8
 #: Code points of the longest term in a script without spaces.
 GRAMS = 4
 #: Different contexts that must show a term beside an entity.
@@ -45,6 +47,8 @@ SUPPORT = 3
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.9, 0.97
 _BUCKETS = 1 << 20
+#: Rows of terms that a worker holds before it hands them on.
+_ROWS = 1 << 16
 BROADCAST_TERMS = 500_000
 
 # The patterns of the base kinds, with parts that can't overlap.
@@ -151,39 +155,6 @@ def _merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def _near(starts: np.ndarray, ends: np.ndarray, a: int, b: int) -> list[int]:
-    """The terms of the context of a mention from a to b."""
-    left = np.arange(*np.searchsorted(starts, [a - CONTEXT_CHARS, a]))
-    left = left[ends[left] <= a]
-    right = np.arange(*np.searchsorted(starts, [b, b + CONTEXT_CHARS]))
-    right = right[ends[right] <= b + CONTEXT_CHARS]
-    first, last = np.unique(starts[left])[-CONTEXT_WORDS:], np.unique(starts[right])[:CONTEXT_WORDS]
-    return [*left[np.isin(starts[left], first)].tolist(), *right[np.isin(starts[right], last)].tolist()]
-
-
-def _contexts(text: str, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[str, str, int, int]]:
-    """Entity, term, a hash of the context, and how often the term occurs in it (an occurrence counts once for an entity).
-
-    starts and ends are those of the text's terms.
-    """
-    spans = base_spans(text)
-    lows, highs = _merged(spans)
-    met: set[tuple[str, int]] = set()
-    for kind, a, b in spans:
-        entity = f"{kind}:{text[a:b].lower()}"
-        near = [(k, text[starts[k] : ends[k]]) for k in _near(starts, ends, a, b) if (i := bisect_right(lows, ends[k] - 1) - 1) < 0 or highs[i] <= starts[k]]
-        about = int.from_bytes(hashlib.blake2b(" ".join(x for _, x in near).encode(), digest_size=8).digest(), "little", signed=True)
-        for k, word in near:
-            term = _folded(word)
-            if (entity, k) not in met:
-                met.add((entity, k))
-                yield entity, term, about, 1
-
-
-def _folded(word: str) -> str:
-    return word.casefold().translate(dict.fromkeys(_IGNORED))
-
-
 def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends (code points of the block) and fingerprints of all terms of a block, and where its rows begin and end."""
     place, length, forms, values = _code_points()
@@ -227,55 +198,160 @@ def _term_hash(terms: list[str]) -> np.ndarray:
     return fingerprints(points, np.concatenate([[0], stops[:-1]]).astype(np.int64), stops, _code_points()[3])
 
 
+def _mentions(text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Entity (an odd hash) and start of each span."""
+    return (_term_hash([f"{kind}:{text[a:b].lower()}" for kind, a, b in spans]) | np.uint64(1)).view(np.int64), np.array([a for _, a, _ in spans], np.int64)
+
+
+def _outer(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Starts and fingerprints of a block's terms that touch no span, where its rows begin and end, and the mentions by row."""
+    starts, ends, hashes, begins = _terms(data, offsets)
+    found, lows, highs = {}, [], []
+    for k in np.flatnonzero(_marked(data, offsets)).tolist():
+        text = data[offsets[k] : offsets[k + 1]].tobytes().decode()
+        if spans := base_spans(text):
+            found[k] = _mentions(text, spans)
+            a, b = _merged(spans)
+            lows.append(np.array(a) + begins[k]), highs.append(np.array(b) + begins[k])
+    if found:
+        low, high = np.concatenate(lows), np.concatenate(highs)
+        at = np.searchsorted(low, ends - 1, side="right") - 1
+        free = (at < 0) | (high[at] <= starts)
+        starts, hashes = starts[free], hashes[free]
+    return starts, hashes, begins, found
+
+
+def _pairs(starts: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For an entity mentioned at some places of a text with terms: term, context, occurrences next to a mention, and occurrences.
+
+    Each occurrence belongs to the nearest mention; a term has one row for each mention that it belongs to.
+    """
+    # Terms that start together, as those of a script without spaces do, are one word here.
+    new = np.diff(starts, prepend=-1) != 0
+    word, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    n = len(first)
+    places = np.unique(np.searchsorted(starts[first], np.sort(at)))
+    right = np.searchsorted(places, word, side="right")
+    left = np.maximum(right - 1, 0)
+    right = np.minimum(right, len(places) - 1)
+    gaps = [np.where(places[x] <= word, word - places[x], places[x] - 1 - word) for x in (left, right)]
+    own, gap = np.where(gaps[0] <= gaps[1], left, right), np.minimum(*gaps)
+    order = np.lexsort((gap, own, hashes))
+    head = np.flatnonzero((np.diff(hashes[order].view(np.int64), prepend=0) != 0) | (np.diff(own[order], prepend=-1) != 0))
+    chosen = order[head]
+    place = places[own[chosen]]
+    low, high = np.minimum(np.maximum(place - CONTEXT_WORDS, 0), word[chosen]), np.maximum(np.minimum(place + CONTEXT_WORDS, n), word[chosen] + 1)
+    about = fingerprints(np.arange(n), low, high, hashes[first] | np.uint64(1))
+    return hashes[chosen], about, np.add.reduceat((gap < CONTEXT_WORDS)[order].astype(np.int64), head), np.diff(np.append(head, len(order)))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """Which of _BUCKETS buckets the values of a column fall into."""
+    out = np.zeros(_BUCKETS, bool)
+    out[df.select(F.pmod(column, F.lit(_BUCKETS)).cast("int").alias("b")).distinct().toArrow().column("b").to_numpy()] = True  # at most _BUCKETS
+    return out
+
+
+def _batch(names: str, columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)) for x in columns], names=names.split())
+
+
 def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
-    """term, hash and disclosure (its highest over all entities) of the terms that disclose an entity of docs (text)."""
-    texts = _texts(docs).select("text")
+    """hash and disclosure (its highest over all entities) of the terms that disclose an entity of docs (text)."""
+    texts = _texts(docs).select("text", F.xxhash64(F.col("text").cast("string")).alias("key"))
+
+    def entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, keys = 0, batch.column(1).to_numpy(zero_copy_only=False)
+            for row, data, offsets in text_blocks(batch):
+                starts, _, begins, found = _outer(data, offsets)
+                total += len(starts)
+                edges = np.searchsorted(starts, begins)
+                rows = []
+                for k, (ids, _) in found.items():
+                    each, n = np.unique(ids, return_counts=True)
+                    rows.append((each, np.full(len(each), keys[row + k]), n, np.full(len(each), edges[k + 1] - edges[k])))
+                if rows:
+                    yield _batch("id key mentions terms", [np.concatenate(x) for x in zip(*rows, strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), *(pa.array([x], pa.int64()) for x in (0, 0, total))], names=["id", "key", "mentions", "terms"])
+
+    seen = store(texts.mapInArrow(entities, "id long, key long, mentions long, terms long"), "entities")
+    total = seen.filter("id IS NULL").agg(F.coalesce(F.sum("terms"), F.lit(0))).first()[0]
+    each = seen.filter("id IS NOT NULL").groupBy("id", "key").agg(F.max("mentions").alias("once"), F.sum("mentions").alias("mentions"), F.sum("terms").alias("terms"))
+    often = each.groupBy("id").agg(F.sum("once").alias("once"), F.sum("mentions").alias("mentions"), F.sum("terms").alias("terms"))
+    # An entity has at most a context for each mention in different texts.
+    often = store(often.filter(F.col("once") >= support).drop("once"), "often")
+    known = _bitmap(often, "id")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, found = 0, Counter()
             for _, data, offsets in text_blocks(batch):
-                starts, ends, _, begins = _terms(data, offsets)
-                total += len(starts)
+                if not _marked(data, offsets).any():
+                    continue
+                starts, hashes, begins, found = _outer(data, offsets)
                 edges = np.searchsorted(starts, begins)
-                for k in np.flatnonzero(_marked(data, offsets)):
-                    own = slice(edges[k], edges[k + 1])
-                    for entity, term, about, n in _contexts(data[offsets[k] : offsets[k + 1]].tobytes().decode(), starts[own] - begins[k], ends[own] - begins[k]):
-                        found[entity, term, about] += n
-            rows = [(*k, n) for k, n in found.items() if n] + [("", "", 0, total)]
-            entity, term, about, n = zip(*rows, strict=True)
-            hashes = _term_hash(list(term))
-            yield pa.RecordBatch.from_arrays([pa.array(entity), pa.array(term), pa.array(hashes.view(np.int64)), pa.array(about, pa.int64()), pa.array(n, pa.int64())], names=["entity", "term", "hash", "about", "n"])
-
-    seen = store(texts.mapInArrow(contexts, "entity string, term string, hash long, about long, n long"), "contexts")
-    total = seen.filter("entity = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    each = seen.filter("entity != ''").groupBy("entity", "term", "hash", "about").agg(F.sum("n").alias("n"))
-    pairs = each.groupBy("entity", "term", "hash").agg(F.sum("n").alias("both"), F.count("*").alias("contexts"))
-    # A context names its entity once for each of its words, so an entity's mentions are at least its most frequent neighbour's.
-    pairs = store(pairs.filter(F.col("contexts") >= support), "pairs")
-    buckets = pairs.select(F.pmod("hash", F.lit(_BUCKETS)).cast("int").alias("b")).distinct().collect()  # at most _BUCKETS
-    wanted = np.zeros(_BUCKETS, bool)
-    wanted[[r["b"] for r in buckets]] = True
+                rows, size = [], 0
+                for k, (ids, at) in found.items():
+                    a, b = edges[k], edges[k + 1]
+                    own = np.unique(ids[known[ids % _BUCKETS]])
+                    if not len(own) or a == b:
+                        continue
+                    term, n = np.unique(hashes[a:b], return_counts=True)
+                    none = np.zeros(len(term), np.int64)
+                    rows.append((none, term, none, none, n))  # the text's terms, for no entity
+                    size += len(term)
+                    for one in own:
+                        term, about, near, n = _pairs(starts[a:b] - begins[k], hashes[a:b], at[ids == one])
+                        rows.append((np.full(len(term), one), term, about, near, n))
+                        size += len(term)
+                        if size >= _ROWS:
+                            yield _batch("id hash about near n", [np.concatenate(x) for x in zip(*rows, strict=True)])
+                            rows, size = [], 0
+                if rows:
+                    yield _batch("id hash about near n", [np.concatenate(x) for x in zip(*rows, strict=True)])
+
+    if not known.any():
+        return often.select(F.col("id").alias("hash"), F.lit(0.0).alias("disclosure"))
+    met = store(texts.select("text").mapInArrow(contexts, "id long, hash long, about long, near long, n long").groupBy("id", "hash", "about").agg(F.sum("near").alias("near"), F.sum("n").alias("n")), "met")
+    pairs = met.filter("id != 0").groupBy("id", "hash").agg(F.sum("near").alias("near"), F.sum("n").alias("both"), F.count("*").alias("contexts"), F.count_if(F.col("near") > 0).alias("near_contexts"))
+    pairs = store(pairs.filter(F.col("contexts") >= support).join(often, "id"), "pairs")
+    # Beside a mention there are several words, so that its most frequent neighbour may be met more often than itself.
+    beside = pairs.filter(F.col("near_contexts") >= support).groupBy("id").agg(F.max("near").alias("neighbours"))
+    pairs = pairs.join(beside, "id", "left")
+
+    def share(both: str, mass: Column) -> Column:
+        bits = F.log2(F.lit(float(total)) / mass)
+        return F.when((bits > 0) & (F.col(both) > 0), 1 - F.log2(F.greatest(F.col("occurs") / F.col(both), F.lit(1.0))) / bits).otherwise(0.0)
+
+    near = F.when(F.col("near_contexts") >= support, share("near", F.greatest("mentions", F.coalesce("neighbours", F.lit(0))))).otherwise(0.0)
+    disclosure = F.round(F.greatest(near, share("both", F.col("terms"))), 9)
+    # A term occurs at least as often as in the texts met, so that no term is counted that can't reach the bound.
+    least = met.filter("id = 0").select("hash", F.col("n").alias("occurs"))
+    pairs = store(pairs.join(least, "hash").filter(disclosure >= generalise).drop("occurs"), "candidates")
+    wanted = _bitmap(pairs, "hash")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, often = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for _, data, offsets in text_blocks(batch):
-                hashes = _terms(data, offsets)[2].view(np.int64)
+                hashes = _outer(data, offsets)[1].view(np.int64)
                 own, n = np.unique(hashes[wanted[hashes % _BUCKETS]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], names=["hash", "n"])
+                held, at = np.unique(np.concatenate([held, own]), return_inverse=True)
+                often = np.bincount(at, np.concatenate([often, n]), len(held)).astype(np.int64)
+                if len(held) >= _ROWS:
+                    yield _batch("hash n", [held, often])
+                    held, often = held[:0], often[:0]
+        yield _batch("hash n", [held, often])
 
-    if not buckets:
-        return pairs.select("term", "hash", F.lit(0.0).alias("disclosure"))
-    often = texts.mapInArrow(counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("occurs"))
-    mentions = pairs.groupBy("entity").agg(F.max("both").alias("mentions"))
-    joined = pairs.join(often, "hash").join(mentions, "entity")
-    bits = F.log2(F.lit(float(total)) / F.col("mentions"))
-    share = F.when(bits > 0, 1 - F.log2(F.greatest(F.col("occurs") / F.col("both"), F.lit(1.0))) / bits).otherwise(0.0)
-    return store(joined.groupBy("term", "hash").agg(F.round(F.max(share), 9).alias("disclosure")).filter(F.col("disclosure") >= generalise), "disclosing")
+    if not wanted.any():
+        return pairs.select("hash", F.lit(0.0).alias("disclosure"))
+    occurs = texts.select("text").mapInArrow(counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("occurs"))
+    joined = pairs.join(occurs, "hash").groupBy("hash").agg(F.max(disclosure).alias("disclosure"))
+    return store(joined.filter(F.col("disclosure") >= generalise), "disclosing")
 
 
 def _hits(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
@@ -362,9 +438,7 @@ class Sanitiser:
         """docs; with too many terms to broadcast, also the terms found in each text (column found), by joins."""
         if not self.joined:
             return docs
-        buckets = self.terms.select(F.pmod("hash", F.lit(_BUCKETS)).cast("int").alias("b")).distinct().collect()
-        wanted = np.zeros(_BUCKETS, bool)
-        wanted[[r["b"] for r in buckets]] = True
+        wanted = _bitmap(self.terms, "hash")
 
         def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

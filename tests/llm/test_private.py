@@ -79,3 +79,20 @@ def test_short_terms_and_numbers_are_judged_like_others(spark):
     assert spans[910].endswith("term:10:12,term:16:21")
     text = {r["doc_id"]: r["text"] for r in own.sanitise(docs).collect()}[910]
     assert "Li" not in text and "48213" not in text
+
+
+def test_terms_far_from_the_mention_are_counted(spark):
+    far = [(700 + k, f"Quindle Vast {prose(6000 + k, 120)} {prose(7000 + k, 120)} signed desk@example.org") for k in range(6)]
+    one = [(720 + k, f"Marrow {prose(8000, 60)} copied mark@example.org {prose(8000, 40)}") for k in range(6)]
+    docs = spark.createDataFrame([*ODD, *planted(), *far, *one, (920, "Quindle stays away, Marrow too")], DOC)
+    own = sanitiser(docs)
+    spans = {r["doc_id"]: r["spans"] for r in own.spans(docs).collect()}
+    assert spans[920] == "term:0:7"
+    texts = {r["doc_id"]: r["text"] for r in own.sanitise(docs).collect()}
+    assert not any("Quindle" in (t or "") for t in texts.values()) and "Marrow" in texts[920]
+
+
+def test_terms_inside_entities_do_not_lower_a_disclosure(spark):
+    rows = planted() + [(600 + k, f"{prose(4000 + k, 30)} ask Li at li.w@example.org today {prose(5000 + k, 30)}") for k in range(6)]
+    docs = spark.createDataFrame([*rows, (910, "a note by Li")], DOC)
+    assert {r["doc_id"]: r["spans"] for r in sanitiser(docs).spans(docs).collect()}[910].endswith("term:10:12")
