@@ -1,6 +1,6 @@
 """MPEG audio columns: frame headers, tags, variable-bitrate tables, checksums, durations and seek offsets.
 
-The reader takes any bytes: it skips ID3v2 and ID3v1 tags, finds frames again after junk (a header counts if a frame or a tag ends
+The reader takes any bytes: it skips ID3v2 tags and an ID3v1 tag where no frame lies, finds frames again after junk (a header counts if a frame or a tag ends
 before it, or another header of its kind, a tag or the end follows its frame), parses Xing, Info and VBRI tables, checks the CRC of protected layer I and III
 frames, and gives the duration in samples, the offset of the frame that holds each whole second, and the bytes that frames
 carry behind their side information.
@@ -176,18 +176,23 @@ def parse(raw: bytes) -> Stream:
     """Everything in a byte string that may hold MPEG audio."""
     data, out = memoryview(raw), Stream()
     end, at, second, synced = len(data), 0, 0, -1  # synced: where a frame or a tag has ended
-    if end >= 128 and bytes(data[-128:-125]) == b"TAG":
-        end -= 128
-        out.tags["ID3v1"] = bytes(data[end + 3 : end + 33]).decode("latin-1").rstrip("\0 ")
+    last = end - 128 if end >= 128 and bytes(data[-128:-125]) == b"TAG" else end  # an ID3v1 tag, unless a frame covers it
     while at < end:
+        if at == last:
+            out.tags["ID3v1"] = bytes(data[last + 3 : last + 33]).decode("latin-1").rstrip("\0 ")
+            break
         if bytes(data[at : at + 3]) == b"ID3" and at + 10 <= end:
-            at = synced = min(end, _id3v2(data, at, out.tags))
+            stop = _id3v2(data, at, out.tags)
+            at = synced = stop if stop <= end else max(at, last)
             continue
         h = header(bytes(data[at : at + 4]))
         if h is not None and at + h.length <= end and (out.kind in (None, h.kind)):
             after = at + h.length
             following = header(bytes(data[after : after + 4])) if after + 4 <= end else None
-            if at == synced or after == end or bytes(data[after : after + 3]) == b"ID3" or following is not None and following.kind == h.kind:
+            follows = following is not None and following.kind == h.kind
+            # A frame over the place of an ID3v1 tag must be followed by another, or end the stream where one is due.
+            covers = at < last < after
+            if covers and (follows or at == synced and after == end) or not covers and (at == synced or after in (last, end) or bytes(data[after : after + 3]) == b"ID3" or follows):
                 body, synced = at + 4 + 2 * h.protected, after
                 covered = _covered(h)
                 if h.protected and covered is not None and body + covered <= after:
@@ -210,6 +215,7 @@ def parse(raw: bytes) -> Stream:
         found = raw.find(b"\xff", at + 1, end)
         tag = raw.find(b"ID3", at + 1, found if found >= 0 else end)
         to = tag if tag >= 0 else found if found >= 0 else end
+        to = last if at < last < to else to
         out.skipped += to - at
         at = to
     return out

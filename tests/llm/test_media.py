@@ -68,3 +68,20 @@ def test_media_without_frames_and_empty_tables(spark):
     found = read_media(spark.createDataFrame([(1, None), (2, bytearray(b"no audio"))], "doc_id long, media binary")).collect()
     assert [r["samples"] for r in found] == [0, 0]
     assert read_media(write_media(spark.createDataFrame([], DOC))).count() == 0
+
+
+def test_payloads_with_tag_near_the_end_come_back_whole():
+    for size in (192, 960, 1344):
+        for at in range(max(0, size - 256), size - 2):
+            payload = (b"x" * at + b"TAG").ljust(size, b"y")
+            raw = write(payload, size)
+            s = parse(raw)
+            assert b"".join(s.carried)[:size] == payload and s.frames == s.table_frames and "ID3v1" not in s.tags
+            s = parse(raw + b"TAG" + b"A title".ljust(125, b"\0"))
+            assert b"".join(s.carried)[:size] == payload and s.frames == s.table_frames and s.tags["ID3v1"] == "A title"
+
+
+def test_a_cut_frame_does_not_hide_the_tag_behind_it():
+    raw = write(bytes(1920), 1920)
+    s = parse(raw[:-50] + b"TAG" + b"A title".ljust(125, b"\0"))
+    assert s.frames == s.table_frames - 1 and s.tags["ID3v1"] == "A title"
