@@ -47,6 +47,8 @@ SUPPORT = 3
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.9, 0.97
 _BUCKETS = 1 << 20
+#: Bytes of text that are cut into terms at once; they take some hundred times that for a moment.
+_BLOCK = 1 << 18
 #: Rows of terms that a worker holds before it hands them on.
 _ROWS = 1 << 16
 BROADCAST_TERMS = 500_000
@@ -267,7 +269,7 @@ def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, support: i
     def entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, keys = 0, batch.column(1).to_numpy(zero_copy_only=False)
-            for row, data, offsets in text_blocks(batch):
+            for row, data, offsets in text_blocks(batch, limit=_BLOCK):
                 starts, _, begins, found = _outer(data, offsets)
                 total += len(starts)
                 edges = np.searchsorted(starts, begins)
@@ -289,7 +291,7 @@ def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, support: i
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in text_blocks(batch):
+            for _, data, offsets in text_blocks(batch, limit=_BLOCK):
                 if not _marked(data, offsets).any():
                     continue
                 starts, hashes, begins, found = _outer(data, offsets)
@@ -337,7 +339,7 @@ def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, support: i
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, often = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for _, data, offsets in text_blocks(batch):
+            for _, data, offsets in text_blocks(batch, limit=_BLOCK):
                 hashes = _outer(data, offsets)[1].view(np.int64)
                 own, n = np.unique(hashes[wanted[hashes % _BUCKETS]], return_counts=True)
                 held, at = np.unique(np.concatenate([held, own]), return_inverse=True)
@@ -415,7 +417,7 @@ class Sanitiser:
     def rows(self, batch: pa.RecordBatch, column: str) -> Iterator[tuple[list, list[list[tuple[str, int, int]]], list[list[tuple[int, int, int]]], np.ndarray]]:
         """By block: its first row and count, base spans and disclosing terms by row, and the disclosures that terms point to."""
         at = batch.schema.get_field_index("found")
-        for row, data, offsets in text_blocks(batch, column):
+        for row, data, offsets in text_blocks(batch, column, _BLOCK):
             n = len(offsets) - 1
             spans: list = [[] for _ in range(n)]
             for k in np.flatnonzero(_marked(data, offsets)):
@@ -443,7 +445,7 @@ class Sanitiser:
         def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 names = batch.column(0).to_pylist()
-                for row, data, offsets in text_blocks(batch):
+                for row, data, offsets in text_blocks(batch, limit=_BLOCK):
                     hashes = _terms(data, offsets)[2].view(np.int64)
                     keys = np.unique(hashes[wanted[hashes % _BUCKETS]])
                     out = [(names[row + i], int(keys[k]), a, b) for i, x in (_hits(data, offsets, keys) if len(keys) else ()) for a, b, k in x]
