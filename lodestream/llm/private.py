@@ -47,7 +47,7 @@ SUPPORT = 3
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.9, 0.97
 _BUCKETS = 1 << 20
-#: Bytes of text that are cut into terms at once; they take some hundred times that for a moment.
+#: Bytes of text that are cut into terms at once, by arrays of a multiple of that size.
 _BLOCK = 1 << 18
 #: Rows of terms that a worker holds before it hands them on.
 _ROWS = 1 << 16
