@@ -4,7 +4,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestream.llm.bpe import encoder
+from lodestream.llm import bpe
+from lodestream.llm.bpe import Encoder, encoder
 from lodestream.llm.packing import hilbert, pack_documents
 from lodestream.llm.tokenfile import EliasFano, Image, read_token_files, write_image, write_token_files
 
@@ -21,6 +22,39 @@ def test_ids_of_parts_are_those_of_the_whole(texts):
     assert counts.tolist() == [len(ids(t, 0)) - 1 for t in texts]
 
 
+def block(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|", "|>", "a", "é", "É.", "×", "ß!", "'s", "1", " ", "  ", "\n", "\t", "\r\n", "\x0b", "_&&", ",", "ſ", "ⅷ", "ªa"]), max_size=40).map("".join), min_size=1, max_size=4))
+def test_added_tokens_and_edges_of_words(texts):
+    found, _ = encoder(BPE).encode(*block(texts))
+    assert found.tolist() == [i for t in texts for i in ids(t, 0)[:-1]]
+
+
+def test_the_end_of_text_is_one_token():
+    assert encoder(BPE).encode(*block(["<|endoftext|> hi"]))[0].tolist() == [50256, 23105]
+
+
+def test_a_full_table_lets_go_of_parts(monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_KEPT", 64)
+    monkeypatch.setattr(bpe, "_SLOT_BITS", 7)
+    monkeypatch.setattr(bpe, "_LOOKED_UP", 30)
+    own, texts = Encoder(BPE), [prose(k % 7, 40) + " the a" for k in range(30)]
+    for t in texts:
+        assert own.encode(*block([t]))[0].tolist() == ids(t, 0)[:-1]
+    assert own.n_parts <= 64
+
+
+def test_parts_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(Encoder, "_hashes", staticmethod(lambda words, sizes: np.full(len(sizes), 5, np.uint64)))
+    own = Encoder(BPE)
+    for t in ["one two three two", "four one five " + "x" * 40, "two six"]:
+        assert own.encode(*block([t]))[0].tolist() == ids(t, 0)[:-1]
+
+
 @given(st.lists(st.integers(0, 100_000), max_size=300))
 def test_select_returns_every_boundary(steps):
     values = np.cumsum(np.array(steps, np.int64))
