@@ -81,7 +81,7 @@ _CLASSES = classes()
 
 def cuts(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = _CLASSES) -> np.ndarray:
     """Ascending positions where parts begin: row starts, ASCII white space after a solid character, ASCII that is no letter after a
-    Latin letter, and solid ASCII after white space that is no space.
+    Latin letter, and solid ASCII after one white space that is no space, itself after a solid character or at the block's start.
 
     No match of the pre-tokenizer's pattern crosses such a position, and none looks behind it.
     """
@@ -94,7 +94,9 @@ def cuts(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = _CLASSES) ->
             # A character of two bytes is solid, as no white space has such a first byte, and may be a Latin letter.
             tail, first = last[1:] & np.uint8(_TAIL), last[:-1].copy()
             last[1:] |= (tail >> 1 & first & _LEAD) >> 3 | (tail << 1 & first & _LATIN) >> 6
-        cut[1:-1] = (here & last >> 2 | here >> 3 & last >> 1 | here >> 2 & last >> 4) & 1
+        after_break = here >> 2 & last >> 4
+        after_break[1:] &= last[:-1] >> 2  # of more white space the pattern's look ahead leaves the last character alone
+        cut[1:-1] = (here & last >> 2 | here >> 3 & last >> 1 | after_break) & 1
     cut[offsets[offsets < n]] = True
     cut[n] = False
     return np.flatnonzero(cut)
