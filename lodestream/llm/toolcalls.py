@@ -7,10 +7,14 @@ against the tool's schema; and each message is serialised as canonical JSON (sor
 Chats without calls of their own are read by pairs: a user turn is a call of the tool `respond`, which the assistant's next turn
 answers, and which depends on the conversation's first call as its context.
 
+Levels of a conversation with at most TOGETHER calls are found in one pass over its calls; larger ones go by joins, a round for each
+link of their longest chain.
+
 Defined results: repeated call or result rows return a row each, and a call links to the least result of its identifier, so no
 group multiplies; a call that nothing answers, a result without a call and a call that names no known tool are kept and marked; a
 dependency that doesn't exist counts for nothing; calls in or behind a cycle have a null level; null text is null content (as an
-argument it is invalid); arguments that aren't a JSON object are invalid; messages of null conversations link to nothing; an empty
+argument it is invalid); arguments that aren't a JSON object of finite numbers and whole characters, or are nested too deeply to
+read, are invalid and written as null; messages of null conversations link to nothing; an empty
 table gives no rows; other columns are not read.
 """
 
@@ -35,15 +39,31 @@ RESPOND = {
         "additionalProperties": False,
     }
 }
+#: Calls of a conversation that are ordered in one task's memory.
+TOGETHER = 1 << 16
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """value as JSON with sorted keys and no spaces; what isn't a finite number is refused."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _read(arguments: str | None) -> tuple[object, str]:
+    """A JSON text's value and that value as canonical JSON, which UTF-8 can hold; null if there is none."""
+    try:
+        value = json.loads(arguments or "")
+        text = canonical(value)
+        text.encode()
+        return value, text
+    except (ValueError, RecursionError):  # also lone surrogates
+        return None, "null"
 
 
 def conforms(value: object, schema: dict) -> bool:
     """Whether value fits schema: type, enum, required, properties, additionalProperties, items and the bounds of each type."""
+    if not schema:
+        return True
     kinds = schema.get("type", [])
     kinds = [kinds] if isinstance(kinds, str) else kinds
     number = isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value)
@@ -69,30 +89,76 @@ def conforms(value: object, schema: dict) -> bool:
     return True
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id and level of calls (conv_id, call_id, after: identifiers that it depends on).
-
-    Each round settles the calls whose dependencies are all settled, so there are as many rounds as the longest chain has calls.
-    """
+def _ordered(calls: dict[str, set[str]]) -> dict[str, int]:
+    """Level of each call (with what it depends on) that lies neither in nor behind a cycle."""
+    behind: dict[str, list[str]] = {}
+    waits = {}
+    for call, after in calls.items():
+        known = [x for x in after if x in calls]
+        waits[call] = len(known)
+        for x in known:
+            behind.setdefault(x, []).append(call)
+    level = {call: 0 for call, n in waits.items() if not n}
+    ready = list(level)
+    for call in ready:  # grows: a call comes after all that it depends on
+        for x in behind.get(call, ()):
+            level[x] = max(level.get(x, 0), level[call] + 1)
+            waits[x] -= 1
+            if not waits[x]:
+                ready.append(x)
+    return {call: level[call] for call in ready}
+
+
+def levels(calls: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """conv_id, call_id and level of calls (conv_id, call_id, after: identifiers that it depends on)."""
     calls = calls.filter("conv_id is not null and call_id is not null")
+    weight = F.greatest(F.coalesce(F.size("after"), F.lit(0)), F.lit(0)) + 1
+    large = store(calls.groupBy("conv_id").agg(F.sum(weight).alias("n")).filter(F.col("n") > together).select("conv_id"), "long-conversations")
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, out = None, {}, []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int32()), strict=True)], names=["conv_id", "call_id", "level"])
+
+        for batch in batches:
+            for conv, call, after in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if conv != own:
+                    out += [(own, *x) for x in _ordered(held).items()]
+                    own, held = conv, {}
+                held.setdefault(call, set()).update(x for x in after or () if x is not None)
+            if len(out) >= 1 << 14:
+                yield batch_of(out)
+                out = []
+        if out := out + [(own, *x) for x in _ordered(held).items()]:
+            yield batch_of(out)
+
+    small = calls.join(large, "conv_id", "left_anti").select(F.col("conv_id").cast("long"), F.col("call_id").cast("string"), F.col("after").cast("array<string>"))
+    found = small.repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(ordered, "conv_id long, call_id string, level int")
+    return found if large.isEmpty() else store(found, "call-levels").union(_levels_by_rounds(calls.join(large, "conv_id", "left_semi")))
+
+
+def _levels_by_rounds(calls: DataFrame) -> DataFrame:
+    """levels() by joins: each round settles the calls whose dependencies are all settled."""
     names = calls.select("conv_id", "call_id").distinct()
     edges = calls.select("conv_id", "call_id", F.explode("after").alias("dep")).filter("dep is not null").distinct()
-    edges = edges.join(names.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"], "left_semi")
-    edges = store(edges, "call-edges")
-    settled = store(names.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "call-levels")
-    fresh, parts = settled, [settled]
-    while True:
-        # What is left of an edge is the level of its dependency, once there is one.
-        known = parts[0]
-        for x in parts[1:]:
-            known = known.union(x)
-        waiting = edges.join(known.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-        met = waiting.join(known.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"], "left")
-        ready = met.groupBy("conv_id", "call_id").agg(F.count("*").alias("all"), F.count("level").alias("met"), F.max("level").alias("level"))
-        fresh = store(ready.filter("`all` = met").select("conv_id", "call_id", (F.col("level") + 1).alias("level")), "call-levels")
-        if fresh.isEmpty():
-            return known
+    edges = store(edges.join(names.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"], "left_semi"), "call-edges")
+    fresh = store(names.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "call-levels")
+    waits = store(edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n")).withColumn("level", F.lit(0)), "call-waits")
+    parts = [fresh]
+    while not fresh.isEmpty():
+        # What is settled just now is taken off the waits of the calls behind it.
+        met = edges.join(fresh.withColumnRenamed("call_id", "dep").withColumnRenamed("level", "before"), ["conv_id", "dep"])
+        met = met.groupBy("conv_id", "call_id").agg(F.count("*").alias("met"), F.max("before").alias("before"))
+        left = waits.join(met, ["conv_id", "call_id"], "left")
+        level = F.greatest("level", F.coalesce(F.col("before") + 1, F.lit(0)))
+        waits = store(left.select("conv_id", "call_id", (F.col("n") - F.coalesce("met", F.lit(0))).alias("n"), level.alias("level")), "call-waits")
+        fresh, waits = waits.filter("n = 0").select("conv_id", "call_id", "level"), waits.filter("n > 0")
         parts.append(fresh)
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -120,14 +186,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
                     valid.append(None)
                     messages.append(canonical({"content": r["content"], "role": "tool", "tool_call_id": r["call_id"]}))
                     continue
-                try:
-                    arguments = json.loads(r["arguments"] or "")
-                except ValueError:
-                    arguments = None
+                arguments, text = _read(r["arguments"])
                 schema = schemas.get(r["name"])
                 valid.append(isinstance(arguments, dict) and schema is not None and conforms(arguments, schema))
                 result = {"content": r["content"], "turn": r["other"]} if r["linked"] else None
-                messages.append(canonical({"arguments": arguments, "id": r["call_id"], "name": r["name"], "result": result, "role": "assistant"}))
+                rest = canonical({"id": r["call_id"], "name": r["name"], "result": result, "role": "assistant"})
+                messages.append(f'{{"arguments":{text},{rest[1:]}')
             kept = [batch.column(batch.schema.get_field_index(x)) for x in ("conv_id", "turn", "kind", "call_id", "linked", "level")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(valid, pa.bool_()), pa.array(messages, pa.string())], names=["conv_id", "turn", "kind", "call_id", "linked", "level", "valid", "message"])
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from hypothesis import given
@@ -49,6 +50,38 @@ def test_levels_of_chains_and_cycles(spark):
     assert found == {(1, f"c{k}"): k for k in range(6)} | {(2, "d"): 0}
 
 
+def test_both_ways_give_the_same_levels(spark):
+    rng = random.Random(3)
+    rows = [(c, f"c{k}", rng.choices([*(f"c{j}" for j in range(max(0, k - 4), k + (k % 9 == 8) + 1) if j != k), "gone", None], k=rng.randint(0, 3))) for c in range(4) for k in range(60)]
+    rows += rows[:10] + [(0, "c5", None), (None, "c1", ["c0"]), (1, None, ["c0"])]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")
+    want, names = {}, {}
+    for c, call, after in rows:
+        if c is not None and call is not None:
+            names.setdefault(c, {}).setdefault(call, set()).update(x for x in after or [] if x is not None)
+    for c, own in names.items():
+        done = {}
+        for _ in range(len(own)):
+            for call, after in own.items():
+                known = [x for x in after if x in own]
+                if call not in done and all(x in done for x in known):
+                    done[call] = 1 + max((done[x] for x in known), default=-1)
+        want |= {(c, call): n for call, n in done.items()}
+    for together in (1 << 16, 100, 0):
+        found = [tuple(r) for r in levels(calls, together).collect()]
+        assert len(found) == len(want) and {(c, call): n for c, call, n in found} == want
+
+
+def test_arguments_that_are_no_json(spark):
+    deep, long = "[" * 200_000 + "]" * 200_000, "x" * 200_000
+    arguments = ['{"a":"\\ud800"}', f'{{"a":{deep}}}', '{"a":NaN}', '{"a":1e999}', '{"a":-Infinity}', json.dumps({"a": 1, "long": long}), f'{{"a":1,"xs":{"[" * 900}{"]" * 900}}}']
+    calls = spark.createDataFrame([(1, k, f"c{k}", "add", x, None) for k, x in enumerate(arguments)], CALLS)
+    found = {r["turn"]: r for r in link(calls, spark.createDataFrame([], RESULTS), SCHEMAS).collect()}
+    assert len(found) == len(arguments) and not any(r["valid"] for r in found.values())
+    assert all(json.loads(found[k]["message"])["arguments"] is None for k in range(5))
+    assert json.loads(found[5]["message"])["arguments"]["long"] == long
+
+
 @pytest.mark.parametrize(
     "value,right",
     [({"a": 1}, True), ({"a": True}, False), ({"a": 1.0}, True), ({"a": 1.5}, False), ({}, False), ({"a": 1, "c": 2}, False), ({"a": 1, "b": -1}, False), ({"a": 1, "how": "fast"}, True), ({"a": 1, "how": 3}, False), ({"a": 1, "xs": ["ab"]}, True), ({"a": 1, "xs": ["abc"]}, False), ([], False), (None, False)],
@@ -73,5 +106,11 @@ def test_plain_chats(spark):
     assert sum(r["kind"] == "message" for r in found) == 4
 
 
+def test_a_long_turn_is_kept_whole(spark):
+    text = "é" * 300_000
+    found = linked_chats(spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], CHAT)).collect()
+    assert {r["kind"] for r in found} == {"call", "result"} and all(text in r["message"] and r["linked"] for r in found)
+
+
 def test_empty_table(spark):
     assert linked_chats(spark.createDataFrame([], CHAT)).count() == 0
