@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import store
@@ -135,10 +135,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, at_once: int = QUERIE
                 yield pa.RecordBatch.from_arrays([pa.array(best.ids[i]), pa.array(best.found[i, j]), pa.array(best.scores[i, j])], names=["query_id", "vec_id", "score"])
 
         found = vectors.select("vec_id", "terms").mapInArrow(score, schema)
-        # Arrays of k rows merge in partial aggregates; sorting (-score, vec_id) puts the best first.
-        entry = F.struct((-F.col("score")).alias("s"), F.col("vec_id"))
-        best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("best"))
-        out = best.select("query_id", F.posexplode("best").alias("at", "e")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.s")).alias("score"))
+        # A window with a limit on its rank keeps k rows of a query before the shuffle and sorts the rest out of memory.
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        out = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         if chunks == 1:
             return out
         parts.append(store(out, "top-k"))
