@@ -4,9 +4,12 @@ A document's words are hashed to a vector, the vector is projected to a few fixe
 point orders the documents. Range partitions of that order are packed each by itself: ids are laid end to end and cut at
 every multiple of the capacity, so only the tail of a partition leaves a sequence unfilled; it is cut into powers of two.
 
-Defined results: null text counts as empty (the end id alone); null or repeated doc_ids are packed like any others; equal
-texts have equal keys and are dealt out by doc_id, so that copies spread over partitions; an empty table gives no rows; other
-columns are not read.
+The bounds of the ranges come from a sample of rows, weighed by their bytes; every row's key is computed once, in the pass that
+gives it its range. The lowest bits of a key are of a hash of doc_id, text and the row's place among its equals in a batch, so that
+copies and repeated rows, which share a point, spread over ranges.
+
+Defined results: null text counts as empty (the end id alone); null or repeated doc_ids are packed like any others; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +30,10 @@ from .common import text_blocks
 HASHED, DIMENSIONS, BITS = 256, 3, 16
 #: Projected values beyond this many standard deviations share the outermost cells.
 SPAN = 3.0
+#: Bits of a key below the curve's, which tell equal points apart.
+SALT_BITS = 63 - DIMENSIONS * BITS
+#: Sampled rows for a bound between ranges, and in all; and bytes of text that a range takes at most, about.
+SAMPLED, MOST_SAMPLED, RANGE_BYTES = 100, 1_000_000, 1 << 28
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -80,10 +88,20 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
     A document's ids are the tokenizer's, then end_id. Every sequence is full but for powers of two at a partition's end.
     """
 
+    def keys_of(batch: pa.RecordBatch) -> np.ndarray:
+        keys = [curve_keys(data, offsets) for _, data, offsets in text_blocks(batch)]
+        return np.concatenate(keys) << SALT_BITS | _salts(batch.column(2).to_numpy(zero_copy_only=False)) if keys else np.zeros(0, np.int64)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.add(pc.fill_null(pc.binary_length(batch.column(1)), 0), 1).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys_of(batch)), sizes], names=["key", "size"])
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [curve_keys(data, offsets) for _, data, offsets in text_blocks(batch)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["doc_id", "text", "key"])
+            keys = keys_of(batch)
+            ranges = np.searchsorted(bounds, keys, side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(ranges)], names=["doc_id", "text", "key", "range"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, first, filled = encoder(tokenizer_path), TaskContext.get().partitionId() << 40, 0
@@ -116,8 +134,35 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
             yield _batch(list(_powers_of_two(tail, filled % capacity)))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = ("key", "doc_id", F.xxhash64("text"))
-    return rows.mapInArrow(keyed, "doc_id long, text string, key long").repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(packed, ", ".join(f"{x} long" for x in _PIECES))
+    rows = rows.withColumn("salt", F.xxhash64("doc_id", "text"))
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = min(1.0, min(SAMPLED * ranges, MOST_SAMPLED) / max(1, rows.count()))
+    sample = rows.sample(share, 17).mapInArrow(sampled, "key long, size long").toArrow()  # about MOST_SAMPLED pairs of numbers at most
+    sizes = sample.column("size").to_numpy()
+    ranges = max(ranges, int(sizes.sum() / share) // RANGE_BYTES)
+    bounds = _bounds(sample.column("key").to_numpy(), sizes, ranges)
+    dealt = rows.mapInArrow(keyed, "doc_id long, text string, key long, range int").repartitionById(ranges, "range")
+    return dealt.sortWithinPartitions("key", "doc_id").select("doc_id", "text").mapInArrow(packed, ", ".join(f"{x} long" for x in _PIECES))
+
+
+def _salts(hashes: np.ndarray) -> np.ndarray:
+    """SALT_BITS of each hash and its place among those equal to it."""
+    _, codes, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    order = np.argsort(codes, kind="stable")
+    place = np.empty(len(hashes), np.uint64)
+    place[order] = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
+    with np.errstate(over="ignore"):
+        mixed = hashes.astype(np.int64).view(np.uint64) + place * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - SALT_BITS)).astype(np.int64)
+
+
+def _bounds(keys: np.ndarray, sizes: np.ndarray, ranges: int) -> np.ndarray:
+    """Keys between so many ranges of about equal size."""
+    order = np.argsort(keys)
+    below = np.cumsum(sizes[order])
+    if not len(below):
+        return np.zeros(0, np.int64)
+    return keys[order][np.minimum(np.searchsorted(below, below[-1] * np.arange(1, ranges) / ranges), len(below) - 1)]
 
 
 def _powers_of_two(tail: list[tuple], length: int) -> Iterator[tuple]:

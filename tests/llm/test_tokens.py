@@ -1,4 +1,5 @@
 import struct
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -6,7 +7,7 @@ from hypothesis import strategies as st
 
 from lodestream.llm import bpe
 from lodestream.llm.bpe import Encoder, encoder
-from lodestream.llm.packing import hilbert, pack_documents
+from lodestream.llm.packing import curve_keys, hilbert, pack_documents
 from lodestream.llm.tokenfile import EliasFano, Image, read_token_files, write_image, write_token_files
 
 from .plain import BPE, DOC, ODD, crc, ids, prose
@@ -110,6 +111,25 @@ def test_pieces_hold_each_id_once_and_fill_sequences(spark):
     assert max(sizes) <= 256 and all(n & (n - 1) == 0 for n in sizes)
 
 
+def test_packing_follows_the_curve(spark):
+    rows = [(k, prose(k % 50, 30 + k % 11)) for k in range(400)] + [(None, "same words again")] * 60
+    docs = spark.createDataFrame(rows, DOC).repartition(3)
+    found = pack_documents(docs, BPE, 0, 64).collect()
+    key = {(k, len(ids(t, 0))): int(curve_keys(*block([t]))[0]) for k, t in rows}
+    order = [key[r["doc_id"], r["doc_tokens"]] for r in sorted(found, key=lambda r: (r["sequence_id"], r["offset"]))]
+    assert len(set(key.values())) > 40 and order == sorted(order)
+    copies = {r["sequence_id"] >> 40 for r in found if r["doc_id"] is None}
+    assert len({r["sequence_id"] >> 40 for r in found}) == 4 and sum(r["length"] for r in found) == sum(len(ids(t, 0)) for _, t in rows)
+    assert copies
+
+
+def test_equal_rows_spread_over_ranges(spark):
+    docs = spark.createDataFrame([(None, "the same words in each of these rows")] * 400, DOC).repartition(3)
+    found = pack_documents(docs, BPE, 0, 64).collect()
+    n = Counter(r["sequence_id"] >> 40 for r in found)
+    assert len(n) == 4 and max(n.values()) < 2 * min(n.values())
+
+
 def test_the_curve_visits_each_cell_by_unit_steps():
     points = np.array(np.meshgrid(*[np.arange(8)] * 3)).reshape(3, -1).T
     order = hilbert(points, 3)
