@@ -4,8 +4,9 @@ Byte embeddings, filters of several widths, the maximum of each filter over a wi
 windows of labelled texts. A whole text is covered by overlapping windows of fixed length, so that every run of bytes as long
 as the widest filter lies in one; a text's probabilities are the windows' means, weighted by their letters.
 
-Learning takes a bounded sample: at most SAMPLE texts of each of at most LANGUAGES languages, chosen by a hash of doc_id, with
-WINDOWS windows of each text. Every prediction covers all documents.
+Learning takes a bounded sample: at most SAMPLE texts of each language, and at most SAMPLED of all, chosen by a hash of doc_id and
+text, with WINDOWS windows of each text; more than LANGUAGES values of lang are refused, as they can't be languages. One more class
+is that of noise, learned from windows of random bytes, which no text is predicted as but which shares in the probabilities. Every prediction covers all documents.
 
 Defined results: text that is null or has no letter is "und" with score 0, as is every text where nothing could be learned;
 a null doc_id is neither learned from nor held out; repeated rows return a row each; an empty table gives no rows; other
@@ -18,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_blocks
 
-SAMPLE, LANGUAGES, WINDOWS = 300, 250, 3
+SAMPLE, SAMPLED, LANGUAGES, WINDOWS = 300, 75_000, 10_000, 3
 WINDOW, EMBEDDED, WIDTHS, FILTERS = 256, 8, (2, 3, 4, 5), 8
 STEP = WINDOW - max(WIDTHS) + 1
 PAD = 256
@@ -35,7 +36,7 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
 class Network:
-    """The trained network: weights for one window, as plain arrays."""
+    """The trained network: weights for one window, as plain arrays; the class behind the labels is noise."""
 
     def __init__(self, labels: list[str], seed: int = 0):
         rng = np.random.default_rng(seed)
@@ -46,8 +47,8 @@ class Network:
         self.taps = np.repeat(np.array([np.arange(wide) < w for w in WIDTHS]).T.astype(np.float32), FILTERS, axis=1).repeat(EMBEDDED, axis=0)
         self.filters = (rng.normal(0, 1, (wide * EMBEDDED, len(WIDTHS) * FILTERS)) / np.sqrt(self.taps.sum(0))).astype(np.float32) * self.taps
         self.bias = np.zeros(len(WIDTHS) * FILTERS, np.float32)
-        self.out = rng.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(labels))).astype(np.float32)
-        self.out_bias = np.zeros(len(labels), np.float32)
+        self.out = rng.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(labels) + 1)).astype(np.float32)
+        self.out_bias = np.zeros(len(labels) + 1, np.float32)
 
     def _patches(self, windows: np.ndarray) -> np.ndarray:
         x = self.embedding[windows]
@@ -60,7 +61,7 @@ class Network:
         return (patches.reshape(-1, wide) @ self.filters).reshape(n, places, -1)
 
     def probabilities(self, windows: np.ndarray) -> np.ndarray:
-        """Per window (bytes, PAD after the end): the probability of each label."""
+        """Per window (bytes, PAD after the end): the probability of each label, and of noise."""
         hidden = np.maximum(self._pooled(self._patches(windows)).max(1) + self.bias, 0)
         z = hidden @ self.out + self.out_bias
         e = np.exp(z - z.max(1, keepdims=True))
@@ -70,8 +71,8 @@ class Network:
         """Cross-entropy by Adam; the gradient of a maximum flows to its place alone."""
         rng, weights = np.random.default_rng(seed), [self.embedding, self.filters, self.bias, self.out, self.out_bias]
         first, second, t = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
-        wide, kinds = max(WIDTHS), np.bincount(targets, minlength=len(self.labels))
-        share = (len(targets) / np.maximum(1, kinds) / len(self.labels)).astype(np.float32)
+        wide, kinds = max(WIDTHS), np.bincount(targets, minlength=len(self.labels) + 1)
+        share = (len(targets) / np.maximum(1, kinds) / len(kinds)).astype(np.float32)
         for epoch in range(epochs):
             order = rng.permutation(len(windows))
             for x in range(0, len(order), batch):
@@ -101,15 +102,15 @@ class Network:
                     v += 0.001 * (g * g - v)
                     w -= (step * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
 
-    def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per row of a block: the label's index and its probability; index -1 where a row has no letter."""
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per row of a block: the label's index, its probability and that of noise; index -1 where a row has no letter."""
         n = np.diff(offsets)
         rows = len(n)
         count = np.where(n > WINDOW, -(-(n - WINDOW) // STEP) + 1, np.minimum(n, 1))
         of = np.repeat(np.arange(rows), count)
         start = STEP * (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
         start = np.maximum(0, np.minimum(start, n[of] - WINDOW)) + offsets[of]
-        total, weight = np.zeros((rows, len(self.labels))), np.zeros(rows)
+        total, weight = np.zeros((rows, len(self.labels) + 1)), np.zeros(rows)
         padded = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
         for x in range(0, len(of), _AT_ONCE):
             own, at = of[x : x + _AT_ONCE], start[x : x + _AT_ONCE, None] + np.arange(WINDOW)
@@ -118,15 +119,15 @@ class Network:
             np.add.at(total, own, self.probabilities(windows) * letters[:, None])
             np.add.at(weight, own, letters)
         share = total / np.maximum(weight, 1)[:, None]
-        best = np.where(weight > 0, share.argmax(1), -1) if len(self.labels) else np.full(rows, -1)
-        score = np.where(best >= 0, share.max(1) if len(self.labels) else 0, 0.0)
+        best = np.where(weight > 0, share[:, :-1].argmax(1), -1)
+        score = np.where(best >= 0, share[:, :-1].max(1), 0.0)
         # Bytes above ASCII may still be no letters.
         ascii_letters = _LETTER[:128][np.minimum(data, 127)] * (data < 128)
         sums = np.concatenate([[0], np.cumsum(ascii_letters)])
         for k in np.flatnonzero((best >= 0) & (np.diff(sums[offsets]) == 0)):
             if not any(c.isalpha() for c in data[offsets[k] : offsets[k + 1]].tobytes().decode()):
                 best[k], score[k] = -1, 0.0
-        return best, np.clip(np.round(score, 6), 0, 1)
+        return best, np.clip(np.round(score, 6), 0, 1), share[:, -1]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -134,23 +135,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Network | None:
+def learn(docs: DataFrame, sample: int = SAMPLE, sampled: int = SAMPLED) -> Network | None:
     """A network of the languages of docs (doc_id, text, lang), from documents that aren't held out; None if there are none."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter("doc_id is not null and lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
     if not counts:
         return None
-    # A hash chooses somewhat more than the sample of each language, and the rest is settled here.
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.3 * sample / r["count"] + 0.0))])
-    rows = rows.withColumn("draw", F.xxhash64("doc_id")).filter(F.pmod("draw", F.lit(1_000_000)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * 1_000_000)
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} values")
+    sample = max(1, min(sample, sampled // len(counts)))
+    # A hash chooses somewhat more than the sample of each language; of these the least hashes are taken, repeated rows once.
+    share = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.3 * sample + 30) / r["count"])) for r in counts], "lang string, share double")
+    rows = rows.withColumn("draw", F.xxhash64("doc_id", "text")).join(F.broadcast(share), "lang")
+    rows = rows.filter(F.col("draw").cast("double") / 2.0**64 + 0.5 <= F.col("share")).dropDuplicates(["lang", "draw"])
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).filter(F.col("place") <= sample)
     raw = F.col("text").cast("binary")
     size = F.octet_length(raw)
     parts = [F.substring(raw, (F.greatest(size - WINDOW, F.lit(0)) * k / max(1, WINDOWS - 1)).cast("int") + 1, F.lit(WINDOW)) for k in range(WINDOWS)]
     drawn = rows.select("lang", "draw", F.array(*parts).alias("parts")).collect()
     labels, windows, targets = sorted(r["lang"] for r in counts), [], []
     for k, lang in enumerate(labels):
-        for r in sorted((r for r in drawn if r["lang"] == lang), key=lambda r: (r["draw"], r["parts"]))[:sample]:
+        for r in sorted((r for r in drawn if r["lang"] == lang), key=lambda r: r["draw"]):
             for part in dict.fromkeys(map(bytes, r["parts"])):
                 window = np.full(WINDOW, PAD, np.int64)
                 window[: len(part)] = np.frombuffer(part, np.uint8)
@@ -158,20 +164,31 @@ def learn(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) ->
                     windows.append(window), targets.append(k)
     network = Network(labels)
     if windows:
-        network.train(np.array(windows), np.array(targets))
+        noise = _noise(windows[:: max(1, len(windows) // (WINDOWS * sample))])
+        network.train(np.array(windows + noise), np.array(targets + [len(labels)] * len(noise)))
     return network
 
 
-def _predicted(network: Network | None, batch: pa.RecordBatch, column: str) -> tuple[list[str], np.ndarray]:
-    names, scores = [], []
+def _noise(windows: list[np.ndarray], seed: int = 5) -> list[np.ndarray]:
+    """Windows as long as these of random bytes, all that any of these has alike."""
+    rng, out = np.random.default_rng(seed), []
+    seen = np.setdiff1d(np.unique(windows), [PAD])
+    for window in windows:
+        out.append(np.where(window == PAD, PAD, rng.choice(seen, WINDOW)))
+    return out
+
+
+def _predicted(network: Network | None, batch: pa.RecordBatch, column: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    names, scores, noise = [], [], []
     for _, data, offsets in text_blocks(batch, column):
         if network is None:
-            best, score = np.full(len(offsets) - 1, -1), np.zeros(len(offsets) - 1)
+            best, score, other = np.full(len(offsets) - 1, -1), np.zeros(len(offsets) - 1), np.ones(len(offsets) - 1)
         else:
-            best, score = network.rows(data, offsets)
+            best, score, other = network.rows(data, offsets)
         names += [network.labels[k] if k >= 0 else UNKNOWN for k in best]
         scores.append(score)
-    return names, np.concatenate(scores) if scores else np.zeros(0)
+        noise.append(other)
+    return names, *(np.concatenate(x) if x else np.zeros(0) for x in (scores, noise))
 
 
 def predict(docs: DataFrame, network: Network | None) -> DataFrame:
@@ -179,20 +196,20 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = _predicted(network, batch, "text")
+            names, scores, _ = _predicted(network, batch, "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     doc_id = F.col("doc_id").cast("long")
     return docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, network: Network | None, least: float) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language with a score of at least least."""
+def keep_known(docs: DataFrame, network: Network | None) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language that is at least as probable as noise."""
     text = next(x for x in docs.columns if x.lower() == "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = _predicted(network, batch, text)
-            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+            names, scores, noise = _predicted(network, batch, text)
+            yield batch.filter(pa.array([n != UNKNOWN and s >= other for n, s, other in zip(names, scores, noise, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)
