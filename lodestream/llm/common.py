@@ -10,9 +10,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as one block.
 BLOCK_BYTES = 1 << 20
+#: Keys that join_hot() broadcasts at most, and the rows from which a key may be one of them.
+HOT_KEYS, HOT_ROWS = 100_000, 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +45,28 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores before those that df has a column of, whatever its case."""
+    taken, out = {x.lower() for x in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_hot(rows: DataFrame, own: DataFrame, key: str) -> DataFrame:
+    """The inner join of rows with own (key, each once, and n: how many rows have it) by key, without n.
+
+    The HOT_KEYS keys with most rows are broadcast, so that none of them goes to one task; any other has at most one HOT_KEYS-th
+    of all rows. Both sides are read twice, so they should be tables.
+    """
+    hot = F.broadcast(own.filter(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), key).limit(HOT_KEYS).drop("n"))
+    rest = rows.join(hot.select(key), key, "left_anti").join(own.drop("n"), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of whole rows of about limit bytes: first row, UTF-8 bytes, offsets of the rows in them. Null is empty.
 

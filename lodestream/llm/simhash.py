@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, text_blocks
+from .common import free_names, join_hot, store, text_blocks
 
 SEED, SHINGLE, THRESHOLD = 42, 4, 4
 #: Members of an anchor that meet in one group.
@@ -38,6 +38,8 @@ TILE = 1 << 15
 FINE = 1 << 26
 #: Anchors known to need tiles that are broadcast; more are joined.
 BROADCAST_ROWS = 100_000
+#: Links from which the joins of star steps split hubs.
+HUBS_FROM = 1 << 20
 
 _GENERATOR = 0b110001110101  # of the binary Golay code, degree 11
 _RADIUS = 3
@@ -224,42 +226,47 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each step groups with partial aggregates and joins on the node; the links stay in tables of the shared folder.
     """
+
+    def joined(rows: DataFrame, least: DataFrame, split: bool) -> DataFrame:
+        return join_hot(rows, store(least, "least"), "u") if split else rows.join(least.drop("n"), "u")
+
     edges = store(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "edges")
-    before = None
+    before, n = None, edges.count()
     while True:
         # Large star: neighbours above a node move to the least of its neighbours and itself.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        edges = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        edges = joined(both.filter("v > u"), least, n >= HUBS_FROM).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: neighbours below a node, and itself, move to the least of them.
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))  # few, as links go from a node to the least of its neighbours
         moved = edges.join(least, "u")
         edges = store(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        n = now[0]
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
 
 
 def _components(prints: DataFrame, least: Column, threshold: int, tile: int, fine_from: int) -> DataFrame:
-    """fp and chosen (the least of an expression over the rows of prints that are reached) of all distinct prints."""
+    """A table of fp, chosen (the least of an expression over the rows of prints that are reached) and n (rows) of all distinct prints."""
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"the anchors cover up to {THRESHOLD} differing bits")
-    distinct = store(prints.groupBy("fp").agg(F.min(least).alias("least")), "distinct")
+    distinct = store(prints.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("n")), "distinct")
     links = _links(distinct.select("fp"), threshold, distinct.count() >= fine_from, tile)
     roots = components(links)
     roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-    linked = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "least")
-    names = linked.groupBy("root").agg(F.min("least").alias("chosen"))
-    linked = linked.join(names, "root").select("fp", "chosen")
-    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("chosen", "least").alias("chosen"))
+    linked = store(distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "least"), "linked")
+    names = linked.groupBy("root").agg(F.min("least").alias("chosen"), F.count("*").alias("n"))
+    linked = join_hot(linked, names, "root").select("fp", "chosen")
+    return store(distinct.join(linked, "fp", "left").select("fp", F.coalesce("chosen", "least").alias("chosen"), "n"), "named")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, tile: int = TILE, fine_from: int = FINE) -> DataFrame:
     """Per document of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (least doc_id that it reaches)."""
     prints = store(fingerprints(docs), "fingerprints")
     named = _components(prints, F.col("doc_id"), threshold, tile, fine_from)
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("chosen").alias("component_id"))
+    return join_hot(prints, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("chosen").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD, tile: int = TILE, fine_from: int = FINE) -> DataFrame:
@@ -268,8 +275,12 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD, tile: int = TILE, fine
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     chosen = _components(prints, row, threshold, tile, fine_from)
     # Without nulls the join and the last step share one exchange of the texts.
-    key = {"kept_named": F.col("doc_id").isNotNull(), "kept_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))}
-    kept = store(chosen.select("chosen.*").withColumns(key).select(*key, F.col("text_hash").alias("kept_hash")).distinct(), "kept")
-    keyed = docs.withColumns({**key, "kept_hash": F.xxhash64(F.col("text").cast("string"))})
-    names = [*key, "kept_hash"]
+    names = free_names(docs, "kept_named", "kept_id", "kept_hash")
+
+    def key(text_hash: Column) -> list[Column]:
+        named = [F.col("doc_id").isNotNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), text_hash]
+        return [x.alias(name) for x, name in zip(named, names, strict=True)]
+
+    kept = store(chosen.select("chosen.*").select(*key(F.col("text_hash"))).distinct(), "kept")
+    keyed = docs.select("*", *key(F.xxhash64(F.col("text").cast("string"))))
     return keyed.join(kept, names, "left_semi").dropDuplicates(names).drop(*names)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from lodestream.llm import simhash
+from lodestream.llm import common, simhash
 from lodestream.llm.simhash import anchors, keep_one, near_duplicates
 
 from .plain import DOC, ODD, components
@@ -73,6 +73,19 @@ def test_one_row_of_each_group_stays_with_all_its_columns(spark):
     assert len(ids) == len({(p, c) if c is None else c for _, p, c in groups})
 
 
+def test_hot_prints_and_hubs_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(simhash, "HUBS_FROM", 0)
+    rows = near_copies() + [(2000 + k, "one text that is everywhere in this table") for k in range(300)]
+    found = near_duplicates(spark.createDataFrame(rows, DOC)).collect()
+    assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in found), key=str) == expected(rows)
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], DOC + ", kept_named int, Kept_Id int, kept_hash int")
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} == {(1, 2, 3)}
+    groups = {p if c is None else c for _, p, c in expected(rows)}
+    assert kept.count() == len(groups)
+
+
 def test_an_empty_table_gives_no_rows(spark):
     assert near_duplicates(spark.createDataFrame([], DOC)).count() == 0
     assert keep_one(spark.createDataFrame([], DOC)).count() == 0
