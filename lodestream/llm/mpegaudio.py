@@ -1,9 +1,10 @@
 """MPEG audio columns: frame headers, tags, variable-bitrate tables, checksums, durations and seek offsets.
 
-The reader takes any bytes: it skips ID3v2 tags and an ID3v1 tag where no frame lies, finds frames again after junk (a header counts if a frame or a tag ends
-before it, or another header of its kind, a tag or the end follows its frame), parses Xing, Info and VBRI tables, checks the CRC of protected layer I and III
-frames, and gives the duration in samples, the offset of the frame that holds each whole second, and the bytes that frames
-carry behind their side information.
+The reader takes any bytes: it skips ID3v2 tags and an ID3v1 tag where no frame lies, finds frames again after junk (a header counts
+if a frame or a tag ends before it, or another header of its kind, a tag or the end follows its frame; the first one, which fixes the
+kind, needs such a follower, a table or a checksum that holds), parses Xing, Info and VBRI tables, checks the CRC of protected frames
+of every layer, and gives the duration in samples, the offset of the frame that holds each whole second, and the bytes that frames
+carry behind their side information. A tag whose head is malformed, or that would reach beyond the end, is junk.
 
 The writer stores any payload as a valid layer III stream: every frame is silent (its side information is zero), so its main
 data is ancillary and holds payload bytes as they are. Sizes are those of 320 kbit/s but for the last frame, which has the
@@ -41,6 +42,9 @@ _KBITS = {
     (False, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 _RATES = (44100, 48000, 32000)
+# Also fixed: bits of a layer II allocation, as pairs of the subband behind the last and the bits of each up to it.
+_HIGH_27, _HIGH_30 = ((11, 4), (23, 3), (27, 2)), ((11, 4), (23, 3), (30, 2))
+_LOW_8, _LOW_12, _SECOND = ((2, 4), (8, 3)), ((2, 4), (12, 3)), ((4, 4), (11, 3), (30, 2))
 _SIDE = {(True, True): 17, (True, False): 32, (False, True): 9, (False, False): 17}  # by (first version, mono)
 
 
@@ -90,7 +94,7 @@ def _crc_table() -> list[int]:
 
 @lru_cache(maxsize=4096)
 def crc16(data: bytes) -> int:
-    """The checksum of protected frames."""
+    """The checksum of protected frames, over whole bytes."""
     x, table = 0xFFFF, _crc_table()
     for b in data:
         x = (x << 8 & 0xFF00) ^ table[x >> 8 ^ b]
@@ -106,6 +110,49 @@ def _covered(h: Header) -> int | None:
     return None
 
 
+def _allocation(h: Header) -> tuple[tuple[int, int], ...]:
+    """The allocation table of a layer II frame."""
+    each = h.kbits / (1 if h.mono else 2)
+    if h.version != 1:
+        return _SECOND
+    if each <= 48:
+        return _LOW_12 if h.rate == 32000 else _LOW_8
+    return _HIGH_30 if h.rate != 48000 and each >= 96 else _HIGH_27
+
+
+def _covered_bits(h: Header, body: bytes) -> int:
+    """Bits of a layer II body that its checksum covers: the allocation, and two for each channel of a subband that has any."""
+    bits, at, more, band = int.from_bytes(body, "big"), 0, 0, 0
+    n, channels = 8 * len(body), 1 if h.mono else 2
+    bound = 4 * (h.joint + 1) if h.joint >= 0 else 32
+    for until, width in _allocation(h):
+        for band in range(band, until):
+            for _ in range(channels if band < bound else 1):
+                at += width
+                if at <= n and bits >> (n - at) & (1 << width) - 1:
+                    more += 2 * (1 if band < bound else channels)
+        band = until
+    return at + more
+
+
+def _sound(data: memoryview, at: int, h: Header, body: int) -> bool | None:
+    """Whether a protected frame's checksum holds; None if what it covers doesn't lie in the frame."""
+    stop = at + h.length
+    if h.layer == 2:
+        bits = _covered_bits(h, bytes(data[body : min(stop, body + 48)]))
+        whole, rest = divmod(bits, 8)
+        if body + -(-bits // 8) > stop:
+            return None
+    else:
+        whole, rest = _covered(h), 0
+        if body + whole > stop:
+            return None
+    x = crc16(bytes(data[at + 2 : at + 4]) + bytes(data[body : body + whole]))
+    for k in range(rest):
+        x = (x << 1 & 0xFFFF) ^ (0x8005 if (x >> 15 ^ data[body + whole] >> (7 - k)) & 1 else 0)
+    return x == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
 @dataclass
 class Stream:
     """What parse() finds."""
@@ -131,13 +178,23 @@ def _syncsafe(raw: bytes) -> int:
     return raw[0] << 21 | raw[1] << 14 | raw[2] << 7 | raw[3]
 
 
-def _id3v2(data: memoryview, at: int, tags: dict[str, str]) -> int:
-    """End of the tag at a position; takes its text frames."""
-    major, flags, size = data[at + 3], data[at + 5], _syncsafe(data[at + 6 : at + 10])
-    end, x = at + 10 + size, at + 10
+def _tag_end(data: memoryview, at: int) -> int | None:
+    """End of the ID3v2 tag at a position, or None if there is none."""
+    if at + 10 > len(data) or data[at] != 73:
+        return None
+    head = bytes(data[at : at + 10])
+    if head[:3] != b"ID3" or head[3] not in (2, 3, 4) or head[4] == 255 or max(head[6:]) > 127:
+        return None
+    end = at + 10 + _syncsafe(head[6:]) + 10 * (head[5] >> 4 & 1)
+    return end if end <= len(data) else None
+
+
+def _id3v2(data: memoryview, at: int, end: int, tags: dict[str, str]) -> None:
+    """Takes the text frames of the tag at a position."""
+    major, flags, x = data[at + 3], data[at + 5], at + 10
     if flags & 0x40 and x + 4 <= end:
         x += _syncsafe(data[x : x + 4]) if major == 4 else 4 + int.from_bytes(data[x : x + 4], "big")
-    while major in (3, 4) and x + 10 <= min(end, len(data)) and data[x]:
+    while major in (3, 4) and x + 10 <= end and data[x]:
         name = bytes(data[x : x + 4]).decode("latin-1")
         n = _syncsafe(data[x + 4 : x + 8]) if major == 4 else int.from_bytes(data[x + 4 : x + 8], "big")
         if name[:1] == "T" and n and x + 10 + n <= end:
@@ -147,7 +204,6 @@ def _id3v2(data: memoryview, at: int, tags: dict[str, str]) -> int:
                 name, _, text = text.partition("\0")
             tags[name] = text
         x += 10 + n
-    return end + 10 * bool(flags & 0x10)
 
 
 def _table(data: memoryview, at: int, h: Header, out: Stream) -> bool:
@@ -165,7 +221,7 @@ def _table(data: memoryview, at: int, h: Header, out: Stream) -> bool:
     elif bytes(data[at + 36 : at + 40]) == b"VBRI" and at + 62 <= len(data):
         name, out.table_bytes, out.table_frames = b"VBRI", *struct.unpack_from(">II", data, at + 46)
         entries, scale, width, _ = struct.unpack_from(">HHHH", data, at + 54)
-        out.toc = bytes(data[at + 62 : at + 62 + min(entries, 4096) * width])
+        out.toc = bytes(data[at + 62 : min(at + h.length, at + 62 + entries * width)])
     else:
         return False
     out.table = name.decode()
@@ -181,9 +237,9 @@ def parse(raw: bytes) -> Stream:
         if at == last:
             out.tags["ID3v1"] = bytes(data[last + 3 : last + 33]).decode("latin-1").rstrip("\0 ")
             break
-        if bytes(data[at : at + 3]) == b"ID3" and at + 10 <= end:
-            stop = _id3v2(data, at, out.tags)
-            at = synced = stop if stop <= end else max(at, last)
+        if (stop := _tag_end(data, at)) is not None:
+            _id3v2(data, at, stop, out.tags)
+            at = synced = stop
             continue
         h = header(bytes(data[at : at + 4]))
         if h is not None and at + h.length <= end and (out.kind in (None, h.kind)):
@@ -192,12 +248,15 @@ def parse(raw: bytes) -> Stream:
             follows = following is not None and following.kind == h.kind
             # A frame over the place of an ID3v1 tag must be followed by another, or end the stream where one is due.
             covers = at < last < after
-            if covers and (follows or at == synced and after == end) or not covers and (at == synced or after in (last, end) or bytes(data[after : after + 3]) == b"ID3" or follows):
-                body, synced = at + 4 + 2 * h.protected, after
-                covered = _covered(h)
-                if h.protected and covered is not None and body + covered <= after:
+            follows = follows or not covers and (after in (last, end) or _tag_end(data, after) is not None)
+            body, covered = at + 4 + 2 * h.protected, _covered(h)
+            sound = _sound(data, at, h, body) if h.protected and (follows or at == synced) else None
+            begins = at == synced and (out.kind is not None or sound or h.layer == 3 and _table(data, at, h, Stream()))
+            if follows or begins and (not covers or after == end):
+                synced = after
+                if sound is not None:
                     out.checked += 1
-                    out.bad_checksums += crc16(bytes(data[at + 2 : at + 4]) + bytes(data[body : body + covered])) != int.from_bytes(data[at + 4 : at + 6], "big")
+                    out.bad_checksums += not sound
                 if out.kind is None:
                     out.kind, out.channels = h.kind, 2 - h.mono
                     if h.layer == 3 and _table(data, at, h, out):
@@ -276,6 +335,12 @@ def write_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, media binary")
 
 
+def _noted(s: Stream, name: str, otherwise: int) -> int:
+    """The number that a tag notes."""
+    noted = s.tags.get(name, "")
+    return int(noted) if noted.isascii() and noted.isdigit() and len(noted) < 19 else otherwise
+
+
 _READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, samples long, sample_rate long, frames long, bad_checksums long, skipped_bytes long, seek_offsets array<long>"
 
 
@@ -286,11 +351,11 @@ def read_media(media: DataFrame) -> DataFrame:
         raw = raw or b""
         s = parse(raw)
         carried = b"".join(s.carried)
-        payload = carried[: int(s.tags.get("payload_bytes", len(carried)))]
+        payload = carried[: _noted(s, "payload_bytes", len(carried))]
         version, layer, rate = s.kind or (0, 0, 0)
         seeks = zlib.crc32(np.array(s.seeks, "<i8").tobytes())
         feature = f"mpeg{version:g}-{layer};{rate};{s.channels};frames={s.frames};samples={s.samples};{s.table or 'none'}={s.table_frames};kbits={min(s.bitrates, default=0)}-{max(s.bitrates, default=0)};crc={s.checked - s.bad_checksums}/{s.checked};seeks={len(s.seeks)}:{seeks:08x}"
-        return doc_id, int(s.tags.get("n_bytes", len(payload))), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, s.samples, rate, s.frames, s.bad_checksums, s.skipped, s.seeks
+        return doc_id, _noted(s, "n_bytes", len(payload)), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, s.samples, rate, s.frames, s.bad_checksums, s.skipped, s.seeks
 
     kinds = [pa.string() if "string" in x else pa.list_(pa.int64()) if "array" in x else pa.int64() for x in _READ.split(", ")]
 
