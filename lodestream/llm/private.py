@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import fingerprints
-from .common import store, text_blocks
+from .common import free_names, store, text_blocks
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of a mention that are next to it.
@@ -244,7 +244,7 @@ def _pairs(starts: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> tuple[np.n
     place = places[own[chosen]]
     low, high = np.minimum(np.maximum(place - CONTEXT_WORDS, 0), word[chosen]), np.maximum(np.minimum(place + CONTEXT_WORDS, n), word[chosen] + 1)
     about = fingerprints(np.arange(n), low, high, hashes[first] | np.uint64(1))
-    return hashes[chosen], about, np.add.reduceat((gap < CONTEXT_WORDS)[order].astype(np.int64), head), np.diff(np.append(head, len(order)))
+    return hashes[chosen], about.view(np.int64), np.add.reduceat((gap < CONTEXT_WORDS)[order].astype(np.int64), head), np.diff(np.append(head, len(order)))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -414,9 +414,9 @@ class Sanitiser:
         rows = [] if self.joined else sorted((r["hash"], r["disclosure"]) for r in terms.select("hash", "disclosure").collect())
         self.keys, self.shares = np.array([x for x, _ in rows], np.int64), np.array([x for _, x in rows], np.float64)
 
-    def rows(self, batch: pa.RecordBatch, column: str) -> Iterator[tuple[list, list[list[tuple[str, int, int]]], list[list[tuple[int, int, int]]], np.ndarray]]:
+    def rows(self, batch: pa.RecordBatch, column: str, where: str) -> Iterator[tuple[list, list[list[tuple[str, int, int]]], list[list[tuple[int, int, int]]], np.ndarray]]:
         """By block: its first row and count, base spans and disclosing terms by row, and the disclosures that terms point to."""
-        at = batch.schema.get_field_index("found")
+        at = batch.schema.get_field_index(where)
         for row, data, offsets in text_blocks(batch, column, _BLOCK):
             n = len(offsets) - 1
             spans: list = [[] for _ in range(n)]
@@ -436,10 +436,11 @@ class Sanitiser:
                     terms[i] = _outside(x, spans[i], shares)
             yield (row, n), spans, terms, shares
 
-    def located(self, docs: DataFrame) -> DataFrame:
-        """docs; with too many terms to broadcast, also the terms found in each text (column found), by joins."""
+    def located(self, docs: DataFrame, text: str) -> tuple[DataFrame, str]:
+        """docs and the name of a further column: with too many terms to broadcast, the terms found in each text, by joins."""
+        where, name = free_names(docs, "found", "found_key")
         if not self.joined:
-            return docs
+            return docs, where
         wanted = _bitmap(self.terms, "hash")
 
         def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,18 +454,19 @@ class Sanitiser:
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["key", "hash", "a", "b"])
 
         # Spans depend on the text alone, so copies share them.
-        texts = docs.select(F.xxhash64("text").alias("key"), "text").dropDuplicates(["key"])
+        texts = docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
         found = texts.mapInArrow(hits, "key long, hash long, a long, b long").join(self.terms.select("hash", "disclosure"), "hash")
-        found = found.groupBy("key").agg(F.collect_list(F.struct("a", "b", "disclosure")).alias("found"))
-        return docs.join(found, F.xxhash64(docs["text"]) == found["key"], "left").drop("key")
+        found = store(found.groupBy(F.col("key").alias(name)).agg(F.collect_list(F.struct("a", "b", "disclosure")).alias(where)), "located")
+        return docs.withColumn(name, F.xxhash64(text)).join(found, name, "left").select(*docs.columns, where), where
 
     def spans(self, docs: DataFrame) -> DataFrame:
         """Per document of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans, text (sanitised)."""
         own = self._shipped()
+        rows_of, where = self.located(_texts(docs), "text")
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for (row, n), spans, terms, _ in own.rows(batch, "text"):
+                for (row, n), spans, terms, _ in own.rows(batch, "text", where):
                     counts = [Counter(kind for kind, _, _ in x) for x in spans]
                     base = [_joined(x) for x in spans]
                     every = [_joined([*x, *(("term", a, b) for a, b, _ in y)]) for x, y in zip(spans, terms, strict=True)]
@@ -473,19 +475,20 @@ class Sanitiser:
                         names=["doc_id", *(f"n_{x}" for x in KINDS), "n_term", "base_sha256", "spans"],
                     )
 
-        return self.located(_texts(docs)).mapInArrow(rows, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_term long, base_sha256 string, spans string")
+        return rows_of.mapInArrow(rows, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_term long, base_sha256 string, spans string")
 
     def sanitise(self, docs: DataFrame) -> DataFrame:
         """docs with personal data and disclosing terms taken out of text, and n_chars, where there is one, counted anew."""
         own, schema = self._shipped(), docs.schema
         text = next(x for x in docs.columns if x.lower() == "text")
+        rows_of, where = self.located(docs, text)
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = batch.schema.get_field_index(text)
                 old = batch.column(at)
                 new = old.to_pylist()
-                for (row, n), spans, terms, shares in own.rows(batch, text):
+                for (row, n), spans, terms, shares in own.rows(batch, text, where):
                     for i in range(n):
                         if spans[i] or terms[i]:
                             new[row + i] = _written(new[row + i], spans[i], terms[i], shares, own.remove)
@@ -496,7 +499,7 @@ class Sanitiser:
                     columns[k] = pa.array([y if x is None else len(x) for x, y in zip(new, columns[k].to_pylist(), strict=True)], columns[k].type)
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-        return self.located(docs).mapInArrow(rows, schema)
+        return rows_of.mapInArrow(rows, schema)
 
     def _shipped(self) -> Sanitiser:
         """This without its table, for executors."""

@@ -1,9 +1,14 @@
 import hashlib
+import math
+import random
+import re
+from bisect import bisect_left
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestream.llm.private import base_spans, sanitiser
+from lodestream.llm.private import _term_hash, base_spans, disclosing_terms, sanitiser
 
 from .plain import DOC, ODD, prose
 from .plain import spans as plain_spans
@@ -45,13 +50,79 @@ def test_sanitised_texts_hold_neither_data_nor_what_discloses_it(spark):
     assert (5, 64) in texts and texts[5, 64].startswith("The quick")
 
 
+def plain_disclosure(texts, least=0.9, support=3, near=8):
+    """Disclosure of each term that reaches least, by counts over all words of all texts."""
+    words, total = [], 0
+    for text in texts:
+        own = [(m.start(), m.end(), m[0].casefold()) for m in re.finditer(r"\w+", text or "")]
+        found = plain_spans(text or "")
+        free = [w for w in own if not any(a < w[1] and b > w[0] for _, a, b in found)]
+        words.append(([w[2] for w in free], [w[0] for w in free], [(f"{k}:{(text or '')[a:b].lower()}", a) for k, a, b in found]))
+        total += len(free)
+    occurs = Counter(w for own, _, _ in words for w in own)
+    best = {}
+    for entity in {e for _, _, m in words for e, _ in m}:
+        mentions = mass = 0
+        once, close, both, contexts = {}, Counter(), Counter(), {}
+        for text, (own, starts, found) in zip(texts, words):
+            at = [a for e, a in found if e == entity]
+            if not at:
+                continue
+            mentions, mass, once[text] = mentions + len(at), mass + len(own), len(at)
+            places = sorted({bisect_left(starts, a) for a in at})
+            for k, w in enumerate(own):
+                gap, p = min((k - p if p <= k else p - 1 - k, p) for p in places)
+                both[w] += 1
+                close[w] += gap < near
+                about = tuple(own[min(max(p - near, 0), k) : max(min(p + near, len(own)), k + 1)])
+                kept = contexts.setdefault(w, {})
+                kept.setdefault((p, text), []).append((gap, about, gap < near))
+        if sum(once.values()) < support:
+            continue
+        seen = {}
+        for w, by_place in contexts.items():
+            for each in by_place.values():
+                about = min(each)[1]  # of a mention's occurrences the nearest gives the context
+                seen.setdefault(w, {})[about] = seen.get(w, {}).get(about, False) or any(n for _, _, n in each)
+        beside = {w: sum(x.values()) for w, x in seen.items() if len(x) >= support}
+        neighbours = max((close[w] for w, n in beside.items() if n >= support), default=0)
+        for w, n in beside.items():
+            def share(joint, m):
+                bits = math.log2(total / m)
+                return 1 - math.log2(max(occurs[w] / joint, 1)) / bits if bits > 0 and joint else 0.0
+            own = max(share(close[w], max(mentions, neighbours)) if n >= support else 0.0, share(both[w], mass))
+            best[w] = max(best.get(w, 0.0), own)
+    return {w: round(x, 9) for w, x in best.items() if round(x, 9) >= least}
+
+
+def test_disclosure_is_that_of_plain_counts(spark):
+    rng, rows = random.Random(9), planted()
+    for k in range(60):
+        who = ["Marrow", "Quindle", "Vast"][k % 3]
+        words = prose(9000 + k, 70).split()
+        words.insert(rng.randrange(70), who if rng.random() < 0.9 else "other")
+        words.insert(rng.randrange(70), f"{who.lower()}{k % 2}@example.org" if rng.random() < 0.8 else "+1 555 123 4567")
+        rows.append((1000 + k, " ".join(words)))
+    rows += rows[-7:] + [(2000, "Marrow said nothing"), (2001, None), (2002, "")]
+    want = plain_disclosure([t for _, t in rows])
+    found = {r["hash"]: r["disclosure"] for r in disclosing_terms(spark.createDataFrame(rows, DOC)).collect()}
+    assert len(want) > 3 and "zorblat" in want
+    hashes = dict(zip(want, _term_hash(list(want)).view("int64").tolist()))
+    assert found.keys() == set(hashes.values())
+    for w, h in hashes.items():
+        assert abs(found[h] - want[w]) < 1e-8, w
+
+
 def test_terms_beyond_the_broadcast_are_joined(spark, monkeypatch):
     from lodestream.llm import private
 
     docs = spark.createDataFrame(ODD + planted(), DOC)
-    direct = sorted(map(str, sanitiser(docs).spans(docs).collect()))
+    wide = spark.createDataFrame([(*r, "k", "f", "t") for r in ODD + planted()], DOC + ", key string, Found string, found_key string")
+    direct, texts = sorted(map(str, sanitiser(docs).spans(docs).collect())), sorted(map(str, sanitiser(docs).sanitise(wide).collect()))
     monkeypatch.setattr(private, "BROADCAST_TERMS", 0)
     assert sorted(map(str, sanitiser(docs).spans(docs).collect())) == direct
+    out = sanitiser(docs).sanitise(wide)
+    assert out.columns == wide.columns and sorted(map(str, out.collect())) == texts
 
 
 def test_empty_table(spark):
