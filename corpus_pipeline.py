@@ -14,28 +14,32 @@ from lodestream.llm.packing import pack_documents
 from lodestream.llm.private import sanitiser
 from lodestream.llm.simhash import keep_one
 
-#: Score below which a text's language counts as unknown: hardly more than chance among four. At 0.5 short and mixed but clean
-#: texts went as well.
-LEAST_SCORE = 0.3
-
-
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a known language; the network learns from these documents."""
-    return keep_known(docs, learn(docs), LEAST_SCORE)
+    """Documents whose text has a language at least as probable as noise; the network learns from these documents.
+
+    Null and empty texts, and texts without a letter, go; rows that repeat stay; an empty table gives no rows.
+    """
+    return keep_known(docs, learn(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: that of the least doc_id, those without one last; of repeated rows one.
+
+    Null, empty and blank texts are near-duplicates of each other; an empty table gives no rows.
+    """
     return keep_one(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data and the terms that disclose it taken out of their texts."""
+    """Documents with personal data and the terms that disclose it taken out of their texts.
+
+    Every row stays; a null text stays null and an empty one empty; an empty table gives no rows.
+    """
     return sanitiser(docs).sanitise(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences."""
+    """Pieces of documents in sequences; a null or empty text is its end id alone; an empty table gives no rows."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=1024)
 
 
