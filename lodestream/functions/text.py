@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The names that columns of benchmark rows go by, in order of preference.
+# The names that columns of benchmark rows go by, in order of preference; a rubric's criteria; parts of secrets' names.
 ID_NAMES = ("id", "key", "audio_id", "question_id", "uid", "index")
 QUESTION_NAMES = ("question", "instruction", "prompt", "text")
 CHOICE_NAMES = ("choices", "options", "answer_choices")
@@ -18,11 +18,19 @@ AUDIO_SUFFIXES = (".wav", ".flac", ".mp3", ".ogg")
 CRITERIA = ("correctness", "relevance", "completeness", "clarity")
 SECRET_NAMES = ("token", "secret", "password", "key")
 ANSWER_WITH = "Respond with the choice letter followed by the choice text."
+# Fixed value: what stands for a secret.
 REDACTED = "<redacted>"
+# The characters that are white space at a text's ends.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(value: Column) -> Column:
+    """value without the white space, of any kind, at its ends."""
+    return F.btrim(value, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(value: Column) -> Column:
-    return F.nullif(F.trim(value.cast("string")), F.lit(""))
+    return F.nullif(stripped(value.cast("string")), F.lit(""))
 
 
 def words(text: Column) -> Column:
@@ -40,7 +48,7 @@ def choices(df: DataFrame) -> Column:
     """Choices of a benchmark row: the first list or map that is there, even if empty, without blanks; else choice_a to choice_f."""
 
     def not_blank(x: Column) -> Column:
-        return F.trim(x) != ""
+        return stripped(x) != ""
 
     lists = []
     for n in CHOICE_NAMES:
@@ -78,7 +86,7 @@ def audio_paths(df: DataFrame) -> Column:
 def with_choices(question: Column, options: Column) -> Column:
     """A question, trimmed, with its options, if any, as lettered lines and how to answer."""
     lines = F.array_join(F.transform(options, lambda c, i: F.concat(F.char(i + 65), F.lit(". "), c)), "\n")
-    asked = F.trim(question)
+    asked = stripped(question)
     return F.when(F.size(options) > 0, F.concat(asked, F.lit("\n\nChoices:\n"), lines, F.lit(f"\n\n{ANSWER_WITH}"))).otherwise(asked)
 
 
@@ -86,7 +94,7 @@ def messages(*parts: tuple[str, Column]) -> Column:
     """Chat messages; a blank one is refused."""
 
     def checked(role: str, text: Column) -> Column:
-        return F.when(F.trim(text) != "", text).otherwise(F.raise_error(F.lit(f"the {role} message is blank")))
+        return F.when(stripped(text) != "", text).otherwise(F.raise_error(F.lit(f"the {role} message is blank")))
 
     return F.array(*(F.struct(F.lit(role).alias("role"), checked(role, text).alias("content")) for role, text in parts))
 
@@ -111,6 +119,11 @@ def _quoted(part: str) -> str:
     return "\\Q" + part.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def placed_choices(df: DataFrame, key: list[str], choices_of: str) -> DataFrame:
+    """Choices of all rows in one column, a row each: key, place, choice, and n_choices, so that place 0 begins a row's slice."""
+    return df.select(*key, F.size(choices_of).alias("n_choices"), F.posexplode(choices_of).alias("place", "choice"))
+
+
 def split_ids(ids: Column, offsets: Column, at: Column) -> Column:
     """Ids before and from a character, by their offsets (structs of begin and end); null if one crosses it."""
     pairs = F.arrays_zip(ids.alias("id"), offsets.alias("span"))
@@ -127,7 +140,7 @@ def without_end(ids: Column, end: int) -> Column:
 
 def option_letter(answer: Column) -> Column:
     """The letter A to D that an answer begins with, or has just before its end; null if there is none."""
-    p = F.replace(F.trim(answer), F.lit("\n"), F.lit(""))
+    p = F.replace(stripped(answer), F.lit("\n"), F.lit(""))
     first, late = F.substring(p, 1, 1), F.when(F.length(p) > 1, F.substring(p, -2, 1))
     usable = p.isNotNull() & (p != "None")
     return F.when(usable, F.when(first.rlike("^[A-D]$"), first).when(late.rlike("^[A-D]$"), late))
@@ -156,7 +169,7 @@ def yes_wins(votes: Column) -> Column:
     """Whether more votes are yes than no."""
 
     def n(x: str) -> Column:
-        return F.size(F.filter(votes, lambda v: F.lower(F.trim(v)) == x))
+        return F.size(F.filter(votes, lambda v: F.lower(stripped(v)) == x))
 
     return F.coalesce(n("yes") > n("no"), F.lit(False))
 

@@ -20,12 +20,12 @@ Model = Callable[[str, list[str]], tuple[str, str]]
 def requests(rows: DataFrame, mode: str) -> DataFrame:
     """row_index, id, prompt and audio of normalised rows (row_index, sample_id, question, choices, audio).
 
-    Only text questions show the question.
+    Only text questions show the question and its choices.
     """
     if mode not in ("text_question", "audio_only"):
         raise ContractError(f"unknown mode: {mode}")
-    question = F.col("question") if mode == "text_question" else F.lit("")
-    return rows.select("row_index", F.col("sample_id").alias("id"), with_choices(question, F.col("choices")).alias("prompt"), "audio")
+    prompt = with_choices(F.col("question"), F.col("choices")) if mode == "text_question" else F.lit("")
+    return rows.select("row_index", F.col("sample_id").alias("id"), prompt.alias("prompt"), "audio")
 
 
 def answered(asked: DataFrame, model: Model) -> DataFrame:

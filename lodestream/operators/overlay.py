@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical_hash, sha256
+from ..functions.text import stripped
 from ..sources.tables import ContractError, exists, require_columns
 from .validation import require_unique
 
@@ -25,7 +26,7 @@ def source_targets(df: DataFrame, types: list[str]) -> DataFrame:
         raise ContractError("no target type is given")
     rows = require_columns(df, SOURCE).filter(F.col("target_type").isin(*sorted(set(types))))
     require_unique(rows, "target_id")
-    if bad := rows.filter(F.coalesce(F.trim("text"), F.lit("")) == "").head(1):
+    if bad := rows.filter(F.coalesce(stripped(F.col("text")), F.lit("")) == "").head(1):
         raise ContractError(f"the target {bad[0]['target_id']} has no text")
     if rows.isEmpty():
         raise ContractError(f"no targets of types {types}")

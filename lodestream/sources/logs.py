@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import REDACTED, SECRET_NAMES
+from ..functions.text import REDACTED, SECRET_NAMES, stripped
 from ..operators.evaluation import benchmark_record, flattened, has_error, merged_record
 from ..operators.ordering import with_group_position
 from .tables import ContractError
@@ -20,7 +20,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
     placed = (F.col("block") * F.lit(1 << 20) + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("line")
-    return rows.select("file", placed, "value").filter(F.trim("value") != "")
+    return rows.select("file", placed, "value").filter(stripped(F.col("value")) != "")
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def candidate_files(root: str, subset: str) -> list[str]:
         return found
     if found := sorted(os.path.join(d, x) for d, _, names in os.walk(root) for x in names if x.endswith(".parquet")):
         return found
-    found = [p for x in (subset, "test", "data", "default") for end in (".jsonl", ".json") if os.path.isfile(p := os.path.join(root, x + end))]
+    found = [p for x in dict.fromkeys((subset, "test", "data", "default")) for end in (".jsonl", ".json") if os.path.isfile(p := os.path.join(root, x + end))]
     if not found:
         raise ContractError(f"no rows of {subset} under {root}")
     return found
