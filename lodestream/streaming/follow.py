@@ -14,5 +14,5 @@ RESULT = "update long, nll double"
 def follow(spark: SparkSession, folder: str, state: str) -> DataFrame:
     """update, nll and best (the least nll so far) of the JSON results in a folder; each look reads only what is new."""
     stream = spark.readStream.schema(RESULT).option("multiLine", "true").json(folder)
-    rows = commit_once(stream.filter(F.col("update").isNotNull()), "update", epoch=0, path=state)
+    rows = commit_once(stream.filter(F.col("update").isNotNull()), "update", epoch=0, path=state, duplicates="drop")
     return running_min(rows.drop("epoch"), [F.col("update")], "nll")
