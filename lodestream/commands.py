@@ -7,22 +7,25 @@ summarise do.
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
+import tarfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.hashing import stable_bucket
-from .functions.numbers import weighted_mean
-from .operators import catalog, metrics, ordering, packing, validation
-from .sources import logs, manifests, shards, sidecars, tar
-from .sources.tables import scan
+from .functions.hashing import order_key, stable_bucket
+from .functions.numbers import full_mean, weighted_mean
+from .functions.text import option_letter
+from .operators import catalog, evaluation, generation, metrics, ordering, overlay, packing, validation
+from .sources import logs, manifests, shards, sidecars, sinks, tar
+from .sources.tables import ContractError, exists, scan, store
 
 
-def _rows(df: DataFrame, most: int = 1000) -> list[dict]:
-    """Rows of what is small by its nature: reports, specifications, histograms."""
-    return [r.asDict(recursive=True) for r in df.limit(most).collect()]
+def _rows(df: DataFrame) -> list[dict]:
+    """All rows of what is small by its nature: reports, specifications, histograms."""
+    return [r.asDict(recursive=True) for r in df.collect()]
 
 
 def inspect_data(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -48,25 +51,20 @@ def inspect_data(spark: SparkSession, a: argparse.Namespace) -> dict:
 def pack_report(spark: SparkSession, a: argparse.Namespace) -> dict:
     """Packs of examples (audio_id, length) by window sizes and capacities, rows that are too long left out first."""
     rows = scan(spark, a.examples, ["audio_id", "length"])
-    placed = ordering.shuffled(rows, a.seed, a.epoch, "audio_id")
-    grid = []
-    for capacity in a.capacities:
-        fitting = ordering.with_position(placed.filter(F.col("length") <= capacity), [F.col("position")], "ordinal")
-        for size in a.windows:
-            windows = fitting.withColumns({"window": F.floor(F.col("ordinal") / size).cast("long"), "stream": F.lit(0)})
-            stats = packing.pack_stats(packing.packed(windows, "stream", "length", capacity), ["stream"], "stream", "length", capacity).drop("stream")
-            grid += [{"capacity": capacity, "window": size, **r} for r in _rows(stats)]
+    order = [order_key(a.seed, a.epoch, F.col("audio_id")), F.col("audio_id")]
+    grid = _rows(packing.grid(rows, order, "length", a.capacities, a.windows).withColumnRenamed("size", "window").orderBy("capacity", "window"))
     quantiles = metrics.exact_quantiles(rows, "length", [0.5, 0.9, 0.95, 0.99, 1.0])
     return {"n_examples": rows.count(), "quantiles": _rows(quantiles), "grid": grid}
 
 
 def plan_workers(spark: SparkSession, a: argparse.Namespace) -> dict:
-    """Packs of each worker's stream."""
+    """Packs of each worker's stream, and of all of them."""
     rows = scan(spark, a.examples, ["audio_id", "length"])
     rows = rows.withColumn("worker", stable_bucket(a.seed, a.epoch, F.col("audio_id"), a.workers))
     placed = packing.windows(rows, "worker", [F.col("audio_id")], a.windows[0])
     packs = packing.packed(placed, "worker", "length", a.capacities[0], oversized=a.oversized)
-    return {"workers": _rows(packing.pack_stats(packs, ["worker"], "worker", "length", a.capacities[0]).orderBy("worker"))}
+    stats = packing.pack_stats(packs, ["worker"], "worker", "length", a.capacities[0], placed)
+    return {"workers": _rows(stats.orderBy("worker")), "total": _rows(packing.merge_stats(stats, [], F.lit(a.capacities[0])))}
 
 
 def build_sidecar(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -100,10 +98,8 @@ def validate_reference(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 def scorer_input(spark: SparkSession, a: argparse.Namespace) -> dict:
     """The file that a scorer takes, of a log's last predictions."""
-    from .operators.evaluation import last_wins, prediction_key
-
     good = logs.predictions(spark, a.predictions).filter("not failed")
-    kept = last_wins(good, prediction_key(F.col("row_index"), F.col("id"), a.by_id), "line", ["id", "prediction", "source_record"])
+    kept = evaluation.last_wins(good, evaluation.prediction_key(F.col("row_index"), F.col("id"), a.by_id), "line", ["id", "prediction", "source_record"])
     logs.write_lines(logs.scorer_input(kept, a.format, a.subset), a.output)
     return {"output": a.output, "n_rows": kept.count()}
 
@@ -115,6 +111,70 @@ def summarise(spark: SparkSession, a: argparse.Namespace) -> dict:
     return {"subsets": _rows(tree.orderBy("subset")), **_rows(total)[0]}
 
 
+def _named(name: str):
+    """A function written module:name."""
+    module, _, own = name.partition(":")
+    return getattr(importlib.import_module(module), own)
+
+
+def expand_responses(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """Texts of a model (module:function) for what an overlay lacks of a catalog's targets."""
+    targets = overlay.source_targets(spark.read.parquet(a.targets), a.types)
+    recipe = overlay.recipe_hash(model=a.model, types=sorted(set(a.types)), **dict(x.split("=", 1) for x in a.setting))
+    rows = overlay.expand(targets, _named(a.model), a.output, recipe, a.limit)
+    counts = rows.agg(F.count("*").alias("n_rows"), F.count_if("truncated").alias("n_truncated"))
+    return {"recipe_sha256": recipe, **_rows(counts)[0]}
+
+
+def generate(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """Predictions of a model (module:function) for the rows of a benchmark that have none; failures are counted and tried again."""
+    rows = ordering.with_position(evaluation.normalised(logs.benchmark_rows(spark, logs.candidate_files(a.root, a.subset))), [F.col("sample_id"), F.col("source_record")], "row_index")
+    asked = generation.requests(rows, a.mode)
+    if exists(spark, f"{a.output}/parquet"):
+        done = sinks.completed_keys(spark.read.parquet(f"{a.output}/parquet"), "row_index")
+        asked = evaluation.pending(asked, done, "row_index")
+    made = store(generation.answered(asked, _named(a.model)), "answers")
+    good = made.filter("error is null").drop("error")
+    sinks.write_predictions(good, a.output, "row_index")
+    return {"n_asked": made.count(), "n_answered": good.count(), "errors": _rows(made.filter("error is not null").groupBy("error").agg(F.count("*").alias("n_rows")).orderBy("error"))}
+
+
+def preflight(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """Requests whose items (request, seconds, tokens, words) break a limit of the context."""
+    items = scan(spark, a.items, ["request", "seconds", "tokens", "words"])
+    found = evaluation.context_faults(items, "request", a.most_items, a.most_seconds, a.reserve, a.max_output, a.model_length)
+    return {"n_requests": items.select("request").distinct().count(), "faults": _rows(found.groupBy("rule").agg(F.count("*").alias("n_requests")).orderBy("rule"))}
+
+
+def unpack(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """The members of an archive below a folder; a link, or a name that leads out of it, is an error before anything is written."""
+    with tarfile.open(a.archive) as archive:
+        found = archive.getmembers()
+        names = spark.createDataFrame([(x.name, x.issym() or x.islnk()) for x in found], "name string, is_link boolean")
+        if bad := shards.safe_members(names).filter("not safe").head(1):
+            raise ContractError(f"the member {bad[0]['name']} may not be unpacked")
+        archive.extractall(a.output, filter="data")
+    return {"n_members": len(found), "output": a.output}
+
+
+def check_packing(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """Packs of examples, and whether each holds no more than it may and each example lies in one of them."""
+    rows = scan(spark, a.examples, ["audio_id", "length"]).withColumn("worker", F.lit(0))
+    packs = packing.packed(packing.windows(rows, "worker", [F.col("audio_id")], a.windows[0]), "worker", "length", a.capacities[0])
+    full = packs.groupBy("window", "pack").agg(F.sum("length").alias("used"))
+    faults = {"too_full": full.filter(F.col("used") > a.capacities[0]).count(), "lost": rows.filter(F.col("length") <= a.capacities[0]).count() - packs.select("audio_id").distinct().count()}
+    return {"faults": faults, "n_packs": full.count()}
+
+
+def score(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """Share of all rows whose prediction names the right letter (answers: id, answer); an unusable prediction is wrong."""
+    good = logs.predictions(spark, a.predictions).filter("not failed")
+    kept = evaluation.last_wins(good, evaluation.prediction_key(F.col("row_index"), F.col("id"), True), "line", ["id", "prediction"])
+    answers = scan(spark, a.answers, ["id", "answer"])
+    joined = answers.join(kept, "id", "left").select((option_letter(F.col("prediction")) == F.col("answer")).alias("right"), F.col("prediction").isNull().alias("lacking"))
+    return _rows(joined.agg(full_mean(F.col("right").cast("int")).alias("accuracy"), F.count("*").alias("n_rows"), F.count_if("lacking").alias("n_lacking"), F.count_if(F.col("right").isNull() & ~F.col("lacking")).alias("n_unparsed")))[0]
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="lodestream", description=__doc__)
     kinds = out.add_subparsers(dest="command", required=True)
@@ -137,6 +197,13 @@ def parser() -> argparse.ArgumentParser:
     command(list_profiles, "manifest")
     command(validate_reference, "manifest", "profile", "scores")
     command(scorer_input, "predictions", "format", "output", subset={"default": ""}, by_id={"action": "store_true"})
+    command(expand_responses, "targets", "output", "model", types={"nargs": "+", "required": True}, setting={"nargs": "*", "default": []}, limit={"type": int})
+    command(generate, "root", "model", "output", subset={"default": "default"}, mode={"choices": ["text_question", "audio_only"], "default": "text_question"})
+    limits = {"most_items": 3, "reserve": 0, "max_output": 1024, "model_length": 32768}
+    command(preflight, "items", most_seconds={"type": float, "default": 600.0}, **{k: {"type": int, "default": v} for k, v in limits.items()})
+    command(unpack, "archive", "output")
+    command(check_packing, "examples", **plan)
+    command(score, "predictions", "answers")
     command(summarise, "root", metric={"default": "accuracy"})
     return out
 

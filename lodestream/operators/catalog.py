@@ -27,6 +27,25 @@ def in_splits(splits: str, wanted: list[str]) -> Column:
     return F.arrays_overlap(splits, F.array(*map(F.lit, wanted)))
 
 
+def first_split(splits: str, wanted: list[str]) -> Column:
+    """Whether a row's first split is one of these."""
+    return F.coalesce(F.try_element_at(splits, F.lit(1)).isin(*wanted), F.lit(False))
+
+
+def exclusion_rate(skipped: Column, kept: Column) -> Column:
+    """The share of rows that were skipped; of no rows none."""
+    return skipped / F.greatest(skipped + kept, F.lit(1))
+
+
+def united(parts: dict[str, DataFrame], name: str) -> DataFrame:
+    """The rows of several datasets as one bag, each with its dataset's name."""
+    each = [df.withColumn(name, F.lit(k)) for k, df in parts.items()]
+    out = each[0]
+    for x in each[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def allowed_status(column: str, allowed: list[str] | None) -> Column:
     """Whether a review status is allowed; without a list all are."""
     return F.lit(True) if allowed is None else F.col(column).isin(allowed)

@@ -32,6 +32,19 @@ def _with_part(rows: DataFrame, values: dict[int, object], name: str, kind: str
     return rows.join(F.broadcast(found), "_part", "left")
 
 
+def with_positions(df: DataFrame, order: list[Column], conditions: dict[str, Column]) -> DataFrame:
+    """df with, for each name, a row's place (from 0) in the given order among the rows that fulfil its condition; null if it doesn't."""
+    marked = df.withColumns({f"_if_{name}": F.coalesce(c, F.lit(False)) for name, c in conditions.items()})
+    rows, _ = _sorted_parts(marked, order, "positions")
+    counts = sorted(rows.groupBy("_part").agg(*(F.count_if(f"_if_{name}").alias(name) for name in conditions)).collect())
+    for k, name in enumerate(conditions):
+        before = dict(zip([r["_part"] for r in counts], accumulate([0, *(r[k + 1] for r in counts)]), strict=False))
+        rows = _with_part(rows, before, f"_before_{name}")
+    here = W.partitionBy("_part").orderBy("_at")
+    places = {name: F.when(F.col(f"_if_{name}"), F.col(f"_before_{name}") + F.count_if(F.col(f"_if_{name}")).over(here) - 1) for name in conditions}
+    return rows.select(*df.columns, *(c.cast("long").alias(name) for name, c in places.items()))
+
+
 def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """df with each row's place (from 0) in the given order, which must be total."""
     rows, counts = _sorted_parts(df, order, name)
@@ -111,3 +124,8 @@ def last_kept(df: DataFrame, group: str, order: list[Column], n: int, protected:
     placed = with_group_position(df, group, order, "_at")
     placed = placed.join(sizes, placed[group].eqNullSafe(sizes["_group"]))
     return placed.filter((F.col("_at") >= F.col("_size") - n) | F.coalesce(protected, F.lit(False))).drop("_group", "_size", "_at")
+
+
+def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of a total order: each task keeps n of its own."""
+    return df.orderBy(*order).limit(n)

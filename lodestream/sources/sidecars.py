@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.audio import RATE, sidecar_samples
+from ..functions.audio import RATE, sidecar_samples, streaminfo
 from ..operators.validation import require_covered, require_unique
 from .tables import ContractError, require_columns
 
@@ -108,3 +108,18 @@ def read_payloads(planned: DataFrame, root: str) -> DataFrame:
 
     schema = planned.withColumns({"flac": F.lit(b""), "json": F.lit("")}).schema
     return planned.repartitionByRange("wds_shard", "flac_offset").sortWithinPartitions("wds_shard", "flac_offset").mapInArrow(fetch, schema)
+
+
+def payload_faults(rows: DataFrame) -> DataFrame:
+    """audio_id and fault of payloads (rows of read_payloads() with flac_sha256) that aren't what their catalog says."""
+    info = streaminfo(F.col("flac"))
+    named = F.get_json_object("json", "$.id").eqNullSafe(F.col("audio_id")) & F.col("wds_key").eqNullSafe(F.col("audio_id"))
+    fault = (
+        F.when(~named, "key")
+        .when(F.length("flac") != F.col("flac_size"), "size")
+        .when(~F.sha2("flac", 256).eqNullSafe(F.col("flac_sha256")), "digest")
+        .when(info.isNull(), "format")
+        .when(info["rate"] != RATE, "rate")
+        .when(info["channels"] != 1, "channels")
+    )
+    return rows.select("audio_id", fault.alias("fault")).filter("fault is not null")
