@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import media_id, sha256, stable_bucket
 from ..functions.text import messages
-from ..operators.catalog import allowed_status, histogram, in_splits, nested_index, same_targets, stable_pick, stale_rows
+from ..operators.catalog import allowed_status, histogram, in_splits, nested_index, paired_sources, same_targets, stable_pick, stale_rows
 from ..operators.validation import duplicates, faults, missing, overlaps
 from ..sources.tables import require_columns, table
 from .bridges import EPOCH, SEED
@@ -145,10 +145,13 @@ FROM conversations a JOIN u USING (conv_id) WHERE a.role = 'assistant'
 """,
 )
 def caption_transcript_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    spoken = turns.filter("role = 'user'").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("u"))
-    combined = F.format_string("Caption: %s\nTranscript: %s", "text", "u.text")
-    return turns.filter("role = 'assistant'").join(spoken, "conv_id").select("conv_id", "turn", F.col("u.turn").alias("transcript_turn"), sha256(combined).alias("combined_sha256"))
+    """Answers beside the first question of their conversation, which is its one transcript."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", "text")
+    first = turns.filter("role = 'user'").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("u")).select("conv_id", F.lit("user").alias("role"), "u.turn", "u.text")
+    answers = turns.filter("role = 'assistant'").join(first, "conv_id", "left_semi")
+    pairs = paired_sources(answers.unionByName(first), "conv_id", "role", "assistant", "user")
+    combined = F.format_string("Caption: %s\nTranscript: %s", "a.text", "b.text")
+    return pairs.select("conv_id", "a.turn", F.col("b.turn").alias("transcript_turn"), sha256(combined).alias("combined_sha256"))
 
 
 @query("missing_target_antijoin", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
@@ -180,13 +183,15 @@ def payload_hash_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stale_sidecar_rows",
     """
-WITH a AS (SELECT doc_id, sha256(text) AS digest FROM documents), b AS (SELECT doc_id, sha256(trim(text)) AS sidecar_digest FROM documents)
+WITH a AS (SELECT doc_id, sha256(text) AS digest FROM documents), b AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE sha256(text || CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE '' END) END AS sidecar_digest FROM documents)
 SELECT doc_id, digest, sidecar_digest FROM a JOIN b USING (doc_id) WHERE digest IS DISTINCT FROM sidecar_digest
 """,
 )
 def stale_sidecar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return stale_rows(docs.select("doc_id", sha256(F.col("text")).alias("digest")), docs.select("doc_id", sha256(F.trim("text")).alias("digest")), "doc_id", "digest")
+    """Rows whose text has changed since the sidecar was written, or of which it has no digest."""
+    docs, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    then = F.when(n % 9 != 0, sha256(F.concat("text", F.when(n % 7 == 0, " ").otherwise(""))))
+    return stale_rows(docs.select("doc_id", sha256(F.col("text")).alias("digest")), docs.select("doc_id", then.alias("digest")), "doc_id", "digest")
 
 
 @query(

@@ -14,7 +14,7 @@ from ..sources.tables import table
 from .bridges import EPOCH, FRAMES_SQL, SEED, STACK, TOKENS_SQL, WORKERS, lengths, samples, tokens
 from .registry import bucket_sql, order_sql, query
 
-CAPACITY, WINDOW = 4096, 256
+CAPACITY, SMALL_CAPACITY, WINDOW = 4096, 600, 256
 GRID_CAPACITIES, GRID_WINDOWS = (2048, 4096, 8192), (64, 256)
 
 _WORKER_SQL = bucket_sql(SEED, EPOCH, "doc_id", str(WORKERS))
@@ -55,6 +55,25 @@ def bfd_pack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("worker", "n_packs", "tokens", F.round("utilisation", 9).alias("utilisation"), "lower_bound")
 
 
+@query(
+    "worker_pack_totals",
+    f"""
+WITH RECURSIVE {_LENGTHS_SQL},
+w AS (SELECT *, (row_number() OVER (PARTITION BY worker ORDER BY doc_id) - 1) // {WINDOW} AS win FROM l),
+{_bfd_sql(f"SELECT worker * 1000000 + win AS g, CAST({SMALL_CAPACITY} AS BIGINT) AS cap, CAST(len AS BIGINT) AS len, row_number() OVER (PARTITION BY worker, win ORDER BY len DESC, doc_id) AS rn FROM w WHERE len <= {SMALL_CAPACITY}")},
+p AS (SELECT g // 1000000 AS worker, count(*) AS n_packs, sum(used) AS tokens, ceil(sum(used) / {SMALL_CAPACITY}) AS lower_bound FROM bins GROUP BY 1)
+SELECT CAST(sum(n_packs) AS BIGINT) AS n_packs, (SELECT count(*) FROM l WHERE len <= {SMALL_CAPACITY}) AS n_items, (SELECT count(*) FROM l WHERE len > {SMALL_CAPACITY}) AS n_oversized, CAST(sum(tokens) AS BIGINT) AS tokens,
+  round(sum(tokens) / (sum(n_packs) * {SMALL_CAPACITY}), 9) AS utilisation, round((SELECT count(*) FROM l WHERE len <= {SMALL_CAPACITY}) / sum(n_packs), 9) AS items_per_pack, CAST(sum(lower_bound) AS BIGINT) AS lower_bound FROM p
+""",
+)
+def worker_pack_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of each worker's packs, merged: counts and bounds add up, ratios follow."""
+    rows = packing.windows(lengths(spark, sf_dir), "worker", [F.col("doc_id")], WINDOW)
+    each = packing.pack_stats(packing.packed(rows, "worker", "length", SMALL_CAPACITY), ["worker"], "worker", "length", SMALL_CAPACITY, rows)
+    total = packing.merge_stats(each, [], F.lit(SMALL_CAPACITY))
+    return total.select("n_packs", "n_items", "n_oversized", "tokens", F.round("utilisation", 9).alias("utilisation"), F.round("items_per_pack", 9).alias("items_per_pack"), "lower_bound")
+
+
 @query(
     "pack_grid",
     f"""
@@ -67,18 +86,9 @@ SELECT CAST(cap AS INTEGER) AS capacity, CAST(g // 1000000 AS INTEGER) AS size,
 )
 def pack_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each capacity and window size over the shuffled corpus; here rows that are too long go before windows are laid."""
-    placed = ordering.shuffled(lengths(spark, sf_dir), SEED, EPOCH, "doc_id")
-    parts = []
-    for capacity in GRID_CAPACITIES:
-        fitting = ordering.with_position(placed.filter(F.col("length") <= capacity).drop("worker"), [F.col("position")], "ordinal")
-        for size in GRID_WINDOWS:
-            rows = fitting.withColumns({"window": F.floor(F.col("ordinal") / size).cast("long"), "stream": F.lit(0)})
-            stats = packing.pack_stats(packing.packed(rows, "stream", "length", capacity), ["stream"], "stream", "length", capacity)
-            parts.append(stats.select(F.lit(capacity).alias("capacity"), F.lit(size).alias("size"), "n_packs", "tokens", F.round("utilisation", 9).alias("utilisation"), "lower_bound"))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
-    return out
+    order = [order_key(SEED, EPOCH, F.col("doc_id")), F.col("doc_id")]
+    stats = packing.grid(lengths(spark, sf_dir), order, "length", list(GRID_CAPACITIES), list(GRID_WINDOWS))
+    return stats.select("capacity", "size", "n_packs", "tokens", F.round("utilisation", 9).alias("utilisation"), "lower_bound")
 
 
 @query(

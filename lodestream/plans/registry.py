@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import WHITE_SPACE
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -31,3 +33,8 @@ def bucket_sql(seed: int, epoch: int, key: str, n: str) -> str:
 def order_sql(seed: int, epoch: int, key: str) -> str:
     """functions.hashing.order_key in SQL."""
     return f"sha256('{seed}' || chr(0) || '{epoch}' || chr(0) || CAST({key} AS VARCHAR))"
+
+
+def strip_sql(value: str) -> str:
+    """functions.text.stripped in SQL."""
+    return f"trim({value}, {' || '.join(f'chr({ord(c)})' for c in WHITE_SPACE)})"

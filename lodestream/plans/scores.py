@@ -9,7 +9,7 @@ from ..functions import numbers, text
 from ..functions.hashing import is_revision, sha256
 from ..operators import evaluation, metrics
 from ..sources.tables import table
-from .registry import query
+from .registry import query, strip_sql
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,11 +71,10 @@ SELECT round(avg(CASE WHEN yes > no THEN 100.0::DOUBLE ELSE 0 END), 9) AS score,
 """,
 )
 def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yes and no votes of each user; they add up before the shuffle."""
-    vote = F.when(F.col("event_type").isin("purchase", "signup"), "yes").when(F.col("event_type").isin("view", "error"), "no").otherwise("unsure")
-    votes = table(spark, sf_dir, "events").select("user_id", vote.alias("vote"))
-    each = votes.groupBy("user_id").agg(F.count_if(F.col("vote") == "yes").alias("yes"), F.count_if(F.col("vote") == "no").alias("no"))
-    return each.agg(F.round(F.avg(F.when(F.col("yes") > F.col("no"), 100.0).otherwise(0.0)), 9).alias("score"), F.count("*").alias("n"))
+    """Yes and no votes of each user, written in several ways; a user's are few."""
+    vote = F.when(F.col("event_type").isin("purchase", "signup"), " Yes\t").when(F.col("event_type").isin("view", "error"), "\nNO").otherwise("unsure")
+    each = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(vote).alias("votes"))
+    return each.agg(F.round(F.avg(F.when(text.yes_wins(F.col("votes")), 100.0).otherwise(0.0)), 9).alias("score"), F.count("*").alias("n"))
 
 
 @query(
@@ -195,7 +194,7 @@ _OPTION_SQL = """CASE WHEN p IS NULL OR p = 'None' THEN NULL WHEN regexp_matches
 @query(
     "option_letter_parse",
     f"""
-WITH r AS (SELECT conv_id, turn, replace(trim(text, ' '), chr(10), '') AS p FROM conversations), o AS (SELECT conv_id, turn, {_OPTION_SQL} AS letter FROM r)
+WITH r AS (SELECT conv_id, turn, replace({strip_sql('text')}, chr(10), '') AS p FROM conversations), o AS (SELECT conv_id, turn, {_OPTION_SQL} AS letter FROM r)
 SELECT letter, count(*) AS n_rows, round(avg(CASE WHEN letter = 'D' THEN 1.0::DOUBLE ELSE 0 END), 9) AS accuracy FROM o GROUP BY letter
 """,
 )
@@ -250,8 +249,8 @@ def json_props_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "render_choice_prompt",
-    """
-SELECT item_id, sha256(trim(text, ' ') || chr(10) || chr(10) || 'Choices:' || chr(10) || 'A. yes' || chr(10) || 'B. ' || CAST(item_id AS VARCHAR) || chr(10) || chr(10)
+    f"""
+SELECT item_id, sha256({strip_sql('text')} || chr(10) || chr(10) || 'Choices:' || chr(10) || 'A. yes' || chr(10) || 'B. ' || CAST(item_id AS VARCHAR) || chr(10) || chr(10)
   || 'Respond with the choice letter followed by the choice text.') AS prompt_sha256 FROM benchmark
 """,
 )
@@ -263,14 +262,14 @@ def render_choice_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "normalise_rows",
-    """
-SELECT CAST(item_id AS VARCHAR) AS sample_id, trim(text, ' ') AS question, CAST(2 AS INTEGER) AS n_choices, 'clips/' || item_id || '.wav' AS first_audio FROM benchmark
+    f"""
+SELECT CAST(item_id AS VARCHAR) AS sample_id, {strip_sql('text')} AS question, CAST(2 AS INTEGER) AS n_choices, 'clips/' || item_id || '.wav' AS first_audio FROM benchmark
 """,
 )
 def normalise_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     path = F.concat(F.lit("clips/"), F.col("item_id").cast("string"), F.lit(".wav"))
-    raw = items.select(F.lit(" ").alias("id"), F.col("item_id").alias("key"), F.col("text").alias("instruction"), F.array(F.lit("a"), F.lit(" "), F.lit("b")).alias("options"), F.array(path).alias("audio_path"))
+    raw = items.select(F.lit("\t\xa0").alias("id"), F.col("item_id").alias("key"), F.col("text").alias("instruction"), F.array(F.lit("a"), F.lit(" \n"), F.lit("b")).alias("options"), F.array(path).alias("audio_path"), F.col("text").cast("binary").alias("raw"))
     rows = evaluation.normalised(raw)
     return rows.select("sample_id", "question", F.size("choices").alias("n_choices"), F.col("audio")[0].alias("first_audio"))
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..operators import packing
+from ..operators.ordering import with_group_position
+from ..sources.tables import shared_dir, table
 from ..streaming.commits import commit_once
-from .registry import query
+from ..streaming.planner import end_marks, planned
+from .bridges import lengths
+from .packs import SMALL_CAPACITY, WINDOW
+from .registry import SQL, query
 
 
 @query("stream_commit_once", "SELECT event_id, event_type, user_id FROM events WHERE event_type <> 'error'")
@@ -16,3 +23,27 @@ def stream_commit_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     rows = source.filter(F.col("event_type") != "error").select("event_id", "event_type", "user_id")
     return commit_once(rows, "event_id", epoch=0, times=2).drop("epoch")
+
+
+def _after_each(column: str) -> str:
+    return f"""
+WITH p AS (SELECT * FROM ({SQL["worker_pack_totals"]}))
+SELECT {column} FROM p
+"""
+
+
+@query("stream_pack_stats", _after_each("n_packs, n_items, n_oversized, tokens, utilisation, lower_bound"))
+def stream_pack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workers' streams packed as they arrive, in three goes and an end mark: the same packs as in one batch."""
+    base = f"{shared_dir(spark)}/lodestream-{spark.sparkContext.applicationId}/planner-{uuid.uuid4().hex}"
+    rows = with_group_position(lengths(spark, sf_dir).select("worker", "doc_id", "length"), "worker", [F.col("doc_id")], "ordinal").select("worker", "ordinal", "length")
+    goes = [rows.filter("ordinal < 100"), rows.filter("ordinal >= 100 and ordinal < 1000"), rows.filter("ordinal >= 1000"), end_marks(rows)]
+    for part in goes:
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema("worker long, ordinal long, length long").parquet(f"{base}/in")
+        writer = planned(stream, SMALL_CAPACITY, WINDOW).writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+        writer.start(f"{base}/out").awaitTermination()
+    packs = spark.read.schema("worker long, window long, pack int, ordinal long, length long, skipped long").parquet(f"{base}/out")
+    each = packing.pack_stats(packs, ["worker"], "worker", "length", SMALL_CAPACITY, rows)
+    total = packing.merge_stats(each, [], F.lit(SMALL_CAPACITY))
+    return total.select("n_packs", "n_items", "n_oversized", "tokens", F.round("utilisation", 9).alias("utilisation"), "lower_bound")

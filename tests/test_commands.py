@@ -1,6 +1,21 @@
+import io
 import json
+import tarfile
+
+import pytest
 
 from lodestream.commands import main
+from lodestream.sources.tables import ContractError
+
+
+def shout(texts):
+    return [(t.upper(), "length" if len(t) > 3 else "stop", len(t)) for t in texts]
+
+
+def answer(prompt, audio):
+    if "bad" in prompt:
+        raise ValueError("bad")
+    return "B) " + audio[0], "stop"
 
 
 def run(spark, capsys, *arguments):
@@ -36,3 +51,40 @@ def test_scoring(spark, capsys, tmp_path):
     found = run(spark, capsys, "validate-reference", "--manifest", tmp_path / "p.yaml", "--profile", "p", "--scores", tmp_path / "s.json")
     assert [m["status"] for m in found["metrics"]] == ["pass", "missing"]
     assert len(run(spark, capsys, "list-profiles", "--manifest", tmp_path / "p.yaml")["profiles"]) == 2
+
+
+def test_expanding_and_generating(spark, capsys, tmp_path):
+    spark.createDataFrame([(f"a{k}", f"t{k}", "caption", f" text {k} "[k % 2 :], "dev") for k in range(5)], "audio_id string, target_id string, target_type string, text string, split string").write.parquet(str(tmp_path / "targets"))
+    own = ["expand-responses", "--targets", tmp_path / "targets", "--output", tmp_path / "overlay", "--model", "tests.test_commands:shout", "--types", "caption", "--setting", "t=1"]
+    assert run(spark, capsys, *own, "--limit", 2)["n_rows"] == 2
+    found = run(spark, capsys, *own)
+    assert found["n_rows"] == found["n_truncated"] == 5 and run(spark, capsys, *own)["recipe_sha256"] == found["recipe_sha256"]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "test.jsonl").write_text("".join(json.dumps({"id": str(k), "question": "bad" if k == 1 else "q", "choices": ["x", "y"], "audio": [f"{k}.wav"]}) + "\n" for k in range(4)))
+    own = ["generate", "--root", tmp_path / "b", "--subset", "test", "--model", "tests.test_commands:answer", "--output", tmp_path / "out"]
+    found = run(spark, capsys, *own)
+    assert (found["n_asked"], found["n_answered"], found["errors"]) == (4, 3, [{"error": "ValueError: bad", "n_rows": 1}])
+    assert run(spark, capsys, *own)["n_asked"] == 1
+    spark.createDataFrame([("0", "B"), ("1", "B"), ("2", "A"), ("3", "B")], "id string, answer string").write.parquet(str(tmp_path / "answers"))
+    found = run(spark, capsys, "score", "--predictions", tmp_path / "out" / "json", "--answers", tmp_path / "answers")
+    assert found == {"accuracy": 0.5, "n_rows": 4, "n_lacking": 1, "n_unparsed": 0}
+
+
+def test_checks_and_archives(spark, capsys, tmp_path):
+    spark.createDataFrame([("r", 10.0, 100, 5), ("s", 700.0, 100, 5)], "request string, seconds double, tokens long, words long").write.parquet(str(tmp_path / "items"))
+    found = run(spark, capsys, "preflight", "--items", tmp_path / "items")
+    assert found == {"n_requests": 2, "faults": [{"rule": "seconds", "n_requests": 1}]}
+    spark.range(50).selectExpr("cast(id as string) audio_id", "id % 9 + 1 as length").write.parquet(str(tmp_path / "x"))
+    assert run(spark, capsys, "check-packing", "--examples", tmp_path / "x", "--capacities", 12, "--windows", 8)["faults"] == {"too_full": 0, "lost": 0}
+    for name, safe in (("a/b.txt", True), ("../c.txt", False)):
+        with tarfile.open(tmp_path / "x.tar", "w") as archive:
+            info = tarfile.TarInfo(name)
+            info.size = 1
+            archive.addfile(info, io.BytesIO(b"x"))
+        if safe:
+            assert run(spark, capsys, "unpack", "--archive", tmp_path / "x.tar", "--output", tmp_path / "un")["n_members"] == 1
+            assert (tmp_path / "un/a/b.txt").read_text() == "x"
+        else:
+            with pytest.raises(ContractError, match="may not be unpacked"):
+                main(["unpack", "--archive", str(tmp_path / "x.tar"), "--output", str(tmp_path / "un")], spark)
+    assert not (tmp_path / "c.txt").exists()

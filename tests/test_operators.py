@@ -1,9 +1,13 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestream.operators import catalog, evaluation, metrics, ordering, overlay, packing, validation
+from lodestream.functions import text as text_functions
+from lodestream.operators import catalog, dispatch, evaluation, metrics, ordering, overlay, packing, validation
+from lodestream.operators import settings as settings_of
 from lodestream.sources.tables import ContractError, MissingColumns, require_columns
 
 
@@ -268,3 +272,72 @@ def test_an_overlay_is_taken_up_where_it_stopped(spark, tmp_path):
     with pytest.raises(ContractError, match="no targets"):
         overlay.source_targets(rows, ["gone"])
     assert overlay.source_targets(rows.filter("text <> ''"), ["style_caption"]).count() == 5
+
+
+@pytest.mark.parametrize("block", [16, 40])
+def test_blocks_number_chunks_as_one_stream_does(spark, monkeypatch, block):
+    rng = random.Random(block)
+    rows = [(s, k, rng.choice([0, 1, 2, 5, 9, None])) for s, n in (("a", 211), ("b", 1), (None, 64), ("c", 32)) for k in range(n)]
+    df = spark.createDataFrame(rows, "stream string, k long, w long")
+
+    def found():
+        out = [packing.request_chunks(df, "stream", ["k"], "w", 4, 10), packing.accumulation_groups(df, "stream", ["k"], "w", 12, 4, "chunk")]
+        return [sorted(((r["stream"], r["k"], r["w"], r["chunk"]) for r in x.collect()), key=str) for x in out]
+
+    plain = found()
+    monkeypatch.setattr(packing, "BLOCKS_FROM", 0)
+    monkeypatch.setattr(packing, "BLOCK_ROWS", block)
+    assert found() == plain
+
+
+def test_requests_in_flight(spark):
+    rows = spark.createDataFrame([(0, 0, 4.0), (0, 1, 5.0), (0, 2, None), (0, 3, 10.0), (0, 4, 0.0)], "worker int, k long, seconds double")
+    found = {r["k"]: r["wave"] for r in packing.in_flight(rows, "worker", ["k"], "seconds", 10.0, 100).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 1, 4: 2}
+    with pytest.raises(ContractError, match="exceeds"):
+        packing.in_flight(rows, "worker", ["k"], "seconds", 9.0, 100)
+    with pytest.raises(ContractError, match="positive"):
+        packing.in_flight(rows, "worker", ["k"], "seconds", 0, 100)
+
+
+def test_a_grid_packs_each_pair_as_alone(spark):
+    rng = random.Random(1)
+    lengths = [rng.randint(1, 30) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(lengths)), "k long, length long")
+    found = {(r["capacity"], r["size"]): r for r in packing.grid(df, [F.col("k")], "length", [20, 25], [8, 50]).collect()}
+    for capacity in (20, 25):
+        fitting = [n for n in lengths if n <= capacity]
+        for size in (8, 50):
+            n = sum(max(naive_packs(fitting[x : x + size], capacity), default=-1) + 1 for x in range(0, len(fitting), size))
+            r = found[capacity, size]
+            assert (r["n_packs"], r["n_items"], r["tokens"], r["lower_bound"]) == (n, len(fitting), sum(fitting), -(-sum(fitting) // capacity))
+
+
+def test_merged_statistics_of_workers_with_nothing_that_fits(spark):
+    rows = spark.createDataFrame([("a", 0, 5), ("a", 1, 50), ("b", 0, 60)], "worker string, k long, length long")
+    placed = packing.windows(rows, "worker", [F.col("k")], 4)
+    each = packing.pack_stats(packing.packed(placed, "worker", "length", 10), ["worker"], "worker", "length", 10, placed)
+    assert {r["worker"]: (r["n_packs"], r["n_oversized"], r["utilisation"]) for r in each.collect()} == {"a": (1, 1, 0.5), "b": (0, 1, None)}
+    total = packing.merge_stats(each, [], F.lit(10)).first()
+    assert (total["n_packs"], total["n_items"], total["n_oversized"], total["lower_bound"], total["utilisation"]) == (1, 1, 2, 1, 0.5)
+
+
+def test_names_that_nothing_has_are_refused(spark):
+    rows = spark.createDataFrame([(1, "x", "t")], "id long, dataset string, text string")
+    with pytest.raises(ContractError, match="no backend"):
+        dispatch.by_backend(rows, "dataset", {"y": lambda df: df})
+    with pytest.raises(ContractError, match="unknown tokenizer"):
+        dispatch.packable(rows, "id", {"before": F.col("text")}, F.lit(0), "none", "whisper")
+    with pytest.raises(ContractError, match="unexpected weight"):
+        settings_of.mapped_names(rows, "dataset", "w.", "v.")
+    with pytest.raises(ContractError, match="break the rule audio_limit"):
+        settings_of.require_settings({"client": {"max_model_len": 1}, "server": {"max_model_len": 1}}, settings_of.RUNTIME)
+
+
+def test_white_space_of_every_kind_is_stripped(spark):
+    text = "".join(text_functions.WHITE_SPACE)
+    assert text.strip() == "" and not any(chr(k).isspace() and chr(k) not in text for k in range(0x3001))
+    df = spark.createDataFrame([(f"{text}a{text}b{text}",), (text,)], "t string")
+    assert [r[0] for r in df.select(text_functions.stripped(F.col("t"))).collect()] == [f"a{text}b", ""]
+    with pytest.raises(Exception, match="blank"):
+        df.select(text_functions.messages(("user", F.col("t")))).collect()

@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.functions.text import SECRET_NAMES
+from lodestream.operators import packing
 from lodestream.sources import logs, manifests, shards, sidecars, tar
 from lodestream.sources.tables import ContractError, catalog_path, scan
-from lodestream.streaming.commits import commit_once
+from lodestream.streaming.commits import commit_batch, commit_once
 from lodestream.streaming.follow import follow
-from lodestream.streaming.planner import planned
+from lodestream.streaming.planner import end_marks, planned
 
 from .test_functions import flac
 
@@ -221,11 +222,19 @@ def test_each_key_is_committed_once_an_epoch(spark, tmp_path):
 
     assert commit_once(stream(), "id", 0, times=2, path=str(tmp_path / "out")).count() == 10
     spark.range(5, 15).write.mode("append").parquet(source)
+    with pytest.raises(ContractError, match="5 rows have a id that is committed already"):
+        commit_once(stream(), "id", 0, path=str(tmp_path / "out"))
     assert commit_once(stream(), "id", 0, path=str(tmp_path / "out")).count() == 15
-    assert commit_once(stream(), "id", 1, path=str(tmp_path / "out")).count() == 15
+    assert commit_once(stream(), "id", 1, path=str(tmp_path / "out"), duplicates="drop").count() == 15
     assert spark.read.parquet(str(tmp_path / "out/rows")).count() == 30
 
 
+def test_a_batch_that_runs_again_takes_its_own_place(spark, tmp_path):
+    for _ in range(2):
+        commit_batch(spark.range(4), 7, 0, str(tmp_path / "rows"))
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 4
+
+
 def test_the_planner_keeps_its_buffer_between_batches(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
 
@@ -234,11 +243,18 @@ def test_the_planner_keeps_its_buffer_between_batches(spark, tmp_path):
         writer = planned(stream, 10, 4).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True)
         writer.start(out).awaitTermination()
 
-    for k, lengths in enumerate(([6, 11, 4, 5], [5, 1, 2, 3])):
-        spark.createDataFrame([(w, 10 * k + i, n) for w in (1, 2) for i, n in enumerate(lengths)], "worker long, ordinal long, length long").write.mode("append").parquet(source)
+    lengths = [6, 11, 4, 5, 5, 1, 2, 3, 12, 9]
+    given = spark.createDataFrame([(w, i, n) for w in (1, 2) for i, n in enumerate(lengths)], "worker long, ordinal long, length long")
+    for low, high in ((0, 3), (3, 6), (6, 10)):
+        given.filter(f"ordinal >= {low} and ordinal < {high}").write.mode("append").parquet(source)
         run()
+    assert spark.read.parquet(out).filter("worker = 1").agg(F.max("ordinal")).first()[0] == 7
+    end_marks(given).write.mode("append").parquet(source)
+    run()
     rows = spark.read.parquet(out).filter("worker = 1").orderBy("ordinal").collect()
-    assert [(r["ordinal"], r["pack"], r["skipped"]) for r in rows] == [(0, 0, 1), (2, 0, 1), (3, 1, 1), (10, 1, 1)]
+    assert rows[-1]["skipped"] == 2 and [(r["window"], r["ordinal"]) for r in rows] == [(0, 0), (0, 2), (0, 3), (1, 4), (1, 5), (1, 6), (1, 7), (2, 9)]
+    batch = packing.packed(packing.windows(given.withColumnRenamed("ordinal", "given"), "worker", [F.col("given")], 4), "worker", "length", 10)
+    assert sorted((r["worker"], r["window"], r["pack"], r["ordinal"]) for r in spark.read.parquet(out).collect()) == sorted((r["worker"], r["window"], r["pack"], r["ordinal"]) for r in batch.collect())
 
 
 def test_following_a_folder(spark, tmp_path):
