@@ -20,8 +20,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _WORDS = 4
 LONGEST_KEPT = 8 * _WORDS
 #: Parts kept by one Python worker, and slots of the table that finds them.
-MOST_KEPT = 1 << 20
-_SLOT_BITS = 22
+MOST_KEPT = 3 << 18
+_SLOT_BITS = 21
 #: Parts that are looked up at once.
 _LOOKED_UP = 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -223,6 +223,19 @@ def _outer(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, hashes, begins, found
 
 
+def _showing(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a block that mention an entity whose bucket is known, as a block of their own."""
+    kept = []
+    for k in np.flatnonzero(_marked(data, offsets)).tolist():
+        own = data[offsets[k] : offsets[k + 1]]
+        text = own.tobytes().decode()
+        if (spans := base_spans(text)) and known[_mentions(text, spans)[0] % _BUCKETS].any():
+            kept.append(own)
+    if not kept:
+        return data[:0], np.zeros(1, np.int64)
+    return np.concatenate(kept), np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int64)
+
+
 def _pairs(starts: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For an entity mentioned at some places of a text with terms: term, context, occurrences next to a mention, and occurrences.
 
@@ -292,7 +305,8 @@ def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, support: i
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in text_blocks(batch, limit=_BLOCK):
-                if not _marked(data, offsets).any():
+                data, offsets = _showing(data, offsets, known)
+                if not len(data):
                     continue
                 starts, hashes, begins, found = _outer(data, offsets)
                 edges = np.searchsorted(starts, begins)
