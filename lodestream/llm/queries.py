@@ -44,6 +44,10 @@ def op5_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of whole texts by the file's scores as a unigram table, decoded again.
+
+    The installed file was built for merges, so these ids aren't those that the library gives with it.
+    """
     path = public_tokenizers.path("piece_bpe_32k.model")
     decoded = F.sha2(F.col("text").cast("binary"), 256)
     rows = decode(encode(table(spark, sf_dir, "documents"), path), path)
@@ -64,6 +68,7 @@ def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the pieces that op6_sentencepiece finds; like its ids they aren't the library's."""
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -91,7 +96,7 @@ WITH v AS (
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
     CAST(coalesce(list_sum(list_transform(list_zip(q.terms, c.terms), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))), 0) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+  FROM (SELECT vec_id, min(terms) AS terms FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id) q JOIN v c ON c.vec_id <> q.vec_id
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5

@@ -47,3 +47,23 @@ def test_run_is_its_stages(spark):
 
     found = corpus_pipeline.run(spark, SF)
     assert found.agg(F.countDistinct("doc_id")).first()[0] > 100
+
+
+def test_odd_rows_and_an_empty_table(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    real = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").orderBy("doc_id").limit(60).collect()]
+    again = next(r for r in real if r[1] and len(r[1]) > 300)
+    odd = [(None, None, None, None, None), (9001, None, "en", "s", 0), (9002, "", "en", "s", 0), (9003, " \n", "en", "s", 2), (9004, "12 34", None, "s", 5), (None, again[1] + " more", "en", None, None), again, again, (9005, (again[1] + " ") * 300, None, "s", None)]
+    docs = [spark.createDataFrame(real + odd, schema)]
+    for _, stage in corpus_pipeline.STAGES:
+        docs.append(store(stage(spark, docs[-1], SF), "stage"))
+    ids = [[r["doc_id"] for r in x.collect()] for x in docs]
+    assert not {9001, 9002, 9003, 9004} & set(ids[1]) and ids[1].count(again[0]) == 3 and 9005 in ids[1]
+    assert len(ids[2]) == len(set(ids[2])) and again[0] in ids[2] and sorted(ids[3], key=str) == sorted(ids[2], key=str)
+    assert set(ids[4]) == set(ids[3])
+    nothing = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, nothing, SF)
+        assert out.count() == 0 and (name == "packing" or out.columns == nothing.columns)

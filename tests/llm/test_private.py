@@ -167,3 +167,27 @@ def test_terms_inside_entities_do_not_lower_a_disclosure(spark):
     rows = planted() + [(600 + k, f"{prose(4000 + k, 30)} ask Li at li.w@example.org today {prose(5000 + k, 30)}") for k in range(6)]
     docs = spark.createDataFrame([*rows, (910, "a note by Li")], DOC)
     assert {r["doc_id"]: r["spans"] for r in sanitiser(docs).spans(docs).collect()}[910].endswith("term:10:12")
+
+
+def test_names_beside_one_address_are_found_and_those_beside_many_are_not(spark):
+    """40 people in 5 texts each with their own address, 40 other names in 5 texts each with addresses of many, over real rows."""
+    rng = random.Random(12)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    letters = "bcdfghklmnprstvz"
+    names = ["".join(rng.choice(letters) + rng.choice("aeiou") for _ in range(4)).capitalize() for _ in range(80)]
+    assert len(set(names)) == 80
+    people, others, at = names[:40], names[40:], 1_000_000
+    for k, name in enumerate(names):
+        for c in range(5):
+            address = f"person{k if k < 40 else rng.randrange(40, 80)}@example.org" if rng.random() < 0.9 else "desk@example.org"
+            middle = prose(at, rng.choice([2, 5, 30]))
+            rows.append((at, f"{prose(at + 1, 40)} {name} {middle} {address} {prose(at + 2, 40)}"))
+            at += 3
+    docs = spark.createDataFrame(rows, DOC)
+    found = {r["hash"] for r in disclosing_terms(docs).collect()}
+    hashes = dict(zip(names, _term_hash([x.casefold() for x in names]).view("int64").tolist()))
+    right, wrong = sum(hashes[x] in found for x in people), sum(hashes[x] in found for x in others)
+    assert right >= 38 and wrong <= 1
+    words = {w.casefold() for _, t in rows[:1000] for w in re.findall(r"\w+", t or "")}
+    common = sum(h in found for h in _term_hash(sorted(words)).view("int64").tolist())
+    assert common <= len(words) * 1e-3
