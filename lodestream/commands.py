@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from .functions.hashing import order_key, stable_bucket
 from .functions.numbers import full_mean, weighted_mean
 from .functions.text import option_letter
-from .operators import catalog, evaluation, generation, metrics, ordering, overlay, packing, validation
+from .operators import catalog, dispatch, evaluation, generation, metrics, ordering, overlay, packing, settings, validation
 from .sources import logs, manifests, shards, sidecars, sinks, tar
 from .sources.tables import ContractError, exists, scan, store
+from .streaming.follow import follow
 
 
 def _rows(df: DataFrame) -> list[dict]:
@@ -175,6 +176,33 @@ def score(spark: SparkSession, a: argparse.Namespace) -> dict:
     return _rows(joined.agg(full_mean(F.col("right").cast("int")).alias("accuracy"), F.count("*").alias("n_rows"), F.count_if("lacking").alias("n_lacking"), F.count_if(F.col("right").isNull() & ~F.col("lacking")).alias("n_unparsed")))[0]
 
 
+def check_settings(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """The rules that a training or a runtime configuration breaks, and the configuration without its secrets."""
+    found = manifests.load_config(a.config)
+    return {"broken": settings.broken(found, {"training": settings.TRAINING, "runtime": settings.RUNTIME}[a.kind]), "settings": manifests.redacted(found)}
+
+
+def stage_release(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """Sizes and digests of the files of a release, written beside them."""
+    files = _rows(shards.release_manifest(spark, a.root, a.pattern).orderBy("path"))
+    out = {"files": files, "file_count": len(files), "total_bytes": sum(x["n_bytes"] for x in files)}
+    shards.write_json(a.output, out)
+    return {k: out[k] for k in ("file_count", "total_bytes")}
+
+
+def watch_validation(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """What a folder of validation results holds so far, read where the last look ended."""
+    rows = follow(spark, a.folder, a.state)
+    return {"results": _rows(rows.orderBy("update"))}
+
+
+def plan_scoring(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """The command that scores each subset of the chosen benchmarks (formats as format=command)."""
+    specs = manifests.benchmark_specs(spark, a.manifest)
+    kinds = dict(x.split("=", 1) for x in a.commands)
+    return {"commands": _rows(dispatch.scorer_commands(specs, kinds).join(manifests.selected(specs, a.benchmarks), ["name", "subset"]).orderBy("name", "subset"))}
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="lodestream", description=__doc__)
     kinds = out.add_subparsers(dest="command", required=True)
@@ -204,6 +232,10 @@ def parser() -> argparse.ArgumentParser:
     command(unpack, "archive", "output")
     command(check_packing, "examples", **plan)
     command(score, "predictions", "answers")
+    command(check_settings, "config", kind={"choices": ["training", "runtime"], "default": "training"})
+    command(stage_release, "root", "output", pattern={"default": "*"})
+    command(watch_validation, "folder", "state")
+    command(plan_scoring, "manifest", benchmarks={"nargs": "+", "required": True}, commands={"nargs": "+", "required": True})
     command(summarise, "root", metric={"default": "accuracy"})
     return out
 

@@ -493,6 +493,38 @@ def release_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.release_manifest(spark, root, "*.html")
 
 
+@query(
+    "metric_lines",
+    "SELECT event_id AS update, value AS nll, round(exp(least(value, 20)), 2) AS perplexity, event_type AS kind FROM events WHERE value IS NOT NULL",
+)
+def metric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements appended as lines and read."""
+    path = _scratch(spark, "metrics")
+    sinks.append_metrics(table(spark, sf_dir, "events").filter("value is not null").select(F.col("event_id").alias("update"), F.col("value").alias("nll"), F.col("event_type").alias("kind")), path)
+    found = spark.read.text(path).select(F.from_json("value", "update long, nll double, perplexity double, kind string").alias("m")).select("m.*")
+    return found.select("update", "nll", F.round("perplexity", 2).alias("perplexity"), "kind")
+
+
+@query(
+    "wav_headers",
+    """
+SELECT vec_id, 36 + 2 * len(embedding) AS riff_size, 16000::BIGINT AS rate, 2 * len(embedding) AS n_bytes,
+  CAST(round_even(greatest(-1, least(1, (CAST(embedding[1] AS DOUBLE) + CAST(embedding[1] AS DOUBLE) / 2) / 2)) * 32767, 0) AS BIGINT) AS first_level FROM embeddings
+""",
+)
+def wav_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two channels of vectors as one in WAV, and what its header and its first sample say."""
+    v = F.col("embedding").cast("array<double>")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.array(v, F.transform(v, lambda x: x / 2)).alias("channels"))
+    raw = F.hex(F.unbase64(F.substring_index("uri", ",", -1)))
+
+    def number(at: int, size: int) -> Column:
+        return F.conv(F.concat(*(F.substring(raw, 2 * (at + k) + 1, 2) for k in reversed(range(size)))), 16, 10).cast("long")
+
+    level = F.when(number(44, 2) > 32767, number(44, 2) - 65536).otherwise(number(44, 2))
+    return sinks.wav_uri(rows, "channels", 16000).select("vec_id", number(4, 4).alias("riff_size"), number(24, 4).alias("rate"), number(40, 4).alias("n_bytes"), level.alias("first_level"))
+
+
 @query("content_store", "SELECT sha256(coalesce(text, '')) AS digest, octet_length(encode(any_value(coalesce(text, '')))) AS n_bytes, 1::BIGINT AS copies, count(*) AS n_rows FROM documents GROUP BY 1")
 def content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts kept once each under their digest, in two goes over the same rows, and how many rows point at each."""

@@ -11,6 +11,7 @@ from ..operators import packing
 from ..operators.ordering import with_group_position
 from ..sources.tables import shared_dir, table
 from ..streaming.commits import commit_once
+from ..streaming.epochs import updates
 from ..streaming.planner import end_marks, planned
 from .bridges import lengths
 from .packs import SMALL_CAPACITY, WINDOW
@@ -47,3 +48,21 @@ def stream_pack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = packing.pack_stats(packs, ["worker"], "worker", "length", SMALL_CAPACITY, rows)
     total = packing.merge_stats(each, [], F.lit(SMALL_CAPACITY))
     return total.select("n_packs", "n_items", "n_oversized", "tokens", F.round("utilisation", 9).alias("utilisation"), "lower_bound")
+
+
+@query(
+    "epoch_updates",
+    """
+WITH g AS (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 7 AS grp FROM events), u AS (SELECT grp, count(*) AS n_items FROM g GROUP BY grp), n AS (SELECT count(*) AS n FROM u)
+SELECT epoch * n + grp AS update, CAST(epoch AS INTEGER) AS epoch, n_items, n_items AS weight FROM u, n, (SELECT unnest(range(3)) AS epoch) WHERE epoch * n + grp < 400
+""",
+)
+def epoch_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates of groups of seven events, epoch after epoch until there are 400; an epoch's last group may be smaller."""
+    schema = table(spark, sf_dir, "events").schema
+
+    def stream() -> DataFrame:
+        return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("event_id", F.lit(1).cast("long").alias("w"))
+
+    path = f"{shared_dir(spark)}/lodestream-{spark.sparkContext.applicationId}/epochs-{uuid.uuid4().hex}"
+    return updates(stream, "event_id", "w", 1e18, 7, 400, path)

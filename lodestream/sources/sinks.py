@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import struct
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import perplexity
 from ..operators.validation import require_unique
 from .tables import ContractError, exists
 
@@ -42,6 +45,28 @@ def keep_content(rows: DataFrame, path: str, content: str) -> DataFrame:
     return marked.drop(content)
 
 
+def append_metrics(rows: DataFrame, path: str) -> None:
+    """Appends rows of measurements as JSON lines with sorted names, and the perplexity of their nll."""
+    whole = rows.withColumn("perplexity", perplexity(F.col("nll")))
+    whole.select(F.to_json(F.struct(*sorted(whole.columns)), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
+
+
+def wav_uri(rows: DataFrame, channels: str, rate: int) -> DataFrame:
+    """rows with a column uri: their channels (arrays of samples from -1 to 1, of equal length) as one, in 16-bit PCM, as the bytes themselves."""
+    n, many = F.size(F.col(channels)[0]), F.size(channels)
+    mean = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.aggregate(F.transform(channels, lambda c: c[k].cast("double")), F.lit(0.0), lambda a, x: a + x) / many)
+    level = F.transform(mean, lambda x: F.bround(F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0)) * 32767).cast("int"))
+
+    def little(value: Column, size: int) -> Column:
+        digits = F.lpad(F.hex(F.pmod(value.cast("long"), F.lit(1 << 8 * size))), 2 * size, "0")
+        return F.concat(*(F.substring(digits, 2 * (size - k) - 1, 2) for k in range(size)))
+
+    body = F.array_join(F.transform(F.when(n > 0, level).otherwise(F.array().cast("array<int>")), lambda x: little(x, 2)), "")
+    size = F.greatest(n, F.lit(0)) * 2
+    head = F.concat(F.lit(b"RIFF".hex()), little(size + 36, 4), F.lit((b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16) + b"data").hex()), little(size, 4))
+    return rows.withColumn("uri", F.concat(F.lit("data:audio/wav;base64,"), F.base64(F.unhex(F.concat(head, body)))))
+
+
 def data_uri(content: DataFrame, column: str, kind: str = "audio/wav") -> DataFrame:
     """content with a column uri that holds the bytes themselves."""
     return content.withColumn("uri", F.concat(F.lit(f"data:{kind};base64,"), F.base64(column)))

@@ -88,3 +88,20 @@ def test_checks_and_archives(spark, capsys, tmp_path):
             with pytest.raises(ContractError, match="may not be unpacked"):
                 main(["unpack", "--archive", str(tmp_path / "x.tar"), "--output", str(tmp_path / "un")], spark)
     assert not (tmp_path / "c.txt").exists()
+
+
+def test_settings_releases_and_plans(spark, capsys, tmp_path):
+    (tmp_path / "c.yaml").write_text(json.dumps({"data": {"num_workers": 0, "api_token": "x"}, "prompt": {"prompt_file": "p"}}))
+    found = run(spark, capsys, "check-settings", "--config", tmp_path / "c.yaml")
+    assert found["broken"] == ["workers_persist", "workers_for_whisper"] and found["settings"]["data"]["api_token"] == "<redacted>"
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.txt").write_text("abc")
+    assert run(spark, capsys, "stage-release", "--root", tmp_path / "r", "--output", tmp_path / "m.json") == {"file_count": 1, "total_bytes": 3}
+    assert json.loads((tmp_path / "m.json").read_text())["files"][0]["path"] == "a.txt"
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "1.json").write_text('{"update": 1, "nll": 2.0}')
+    assert run(spark, capsys, "watch-validation", "--folder", tmp_path / "v", "--state", tmp_path / "s")["results"] == [{"update": 1, "nll": 2.0, "best": 2.0}]
+    spec = {"dataset_id": "x/y", "revision": "a" * 40, "split": "test", "question_mode": "audio_only", "official_format": "f", "audio_patterns": [], "scorer_repo": "r", "scorer_revision": "b" * 40}
+    (tmp_path / "m.yaml").write_text(json.dumps({"benchmarks": {"one": spec}}))
+    found = run(spark, capsys, "plan-scoring", "--manifest", tmp_path / "m.yaml", "--benchmarks", "one", "--commands", "f=run it")
+    assert found["commands"] == [{"name": "one", "subset": "default", "official_format": "f", "command": "run it"}]
