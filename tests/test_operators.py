@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodestream.functions import numbers
 from lodestream.functions import text as text_functions
 from lodestream.operators import catalog, dispatch, evaluation, metrics, ordering, overlay, packing, validation
 from lodestream.operators import settings as settings_of
@@ -341,3 +342,23 @@ def test_white_space_of_every_kind_is_stripped(spark):
     assert [r[0] for r in df.select(text_functions.stripped(F.col("t"))).collect()] == [f"a{text}b", ""]
     with pytest.raises(Exception, match="blank"):
         df.select(text_functions.messages(("user", F.col("t")))).collect()
+
+# Published counts and accuracies of nine subsets, and their mean weighted by counts.
+PUBLISHED = [
+    (276, 0.322463768115942),
+    (98, 0.25510204081632654),
+    (270, 0.825925925925926),
+    (41, 0.04878048780487805),
+    (100, 0.27),
+    (100, 0.32),
+    (100, 0.38),
+    (180, 0.35555555555555557),
+    (1039, 0.3503368623676612),
+]
+PUBLISHED_MEAN = 0.39201451905626133
+
+
+def test_published_weighted_accuracy(spark):
+    rows = spark.createDataFrame(PUBLISHED, "n long, value double")
+    found = rows.agg(numbers.weighted_mean(F.col("value"), F.col("n")).alias("mean"), F.sum("n").alias("n")).first()
+    assert found["n"] == 2204 and found["mean"] == pytest.approx(PUBLISHED_MEAN, abs=1e-12)
