@@ -1,6 +1,7 @@
 """Information-theoretic sanitisation of personal data.
 
-Addresses, numbers and cards are found by pattern. They are the protected entities: for each entity that occurs often enough, all
+Addresses, numbers, cards and secrets (values of at least eight characters, a digit among them, that are assigned to a name such as
+token or password) are found by pattern. They are the protected entities: for each entity that occurs often enough, all
 terms of all documents that show it are counted, and a term's disclosure of an entity is PMI(entity; term) / IC(entity), which is 1
 for a term that occurs with that entity alone and 0 for one that says nothing of it. It is taken twice, and the higher one holds:
 over the words next to a mention (as many as CONTEXT_WORDS on a side) and over whole documents, where the entity's share is that of
@@ -38,6 +39,8 @@ from .bpe import fingerprints
 from .common import free_names, store, text_blocks
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kind that is protected beside the base kinds.
+SECRET = "secret"
 #: Words on either side of a mention that are next to it.
 CONTEXT_WORDS = 8
 #: Code points of the longest term in a script without spaces.
@@ -60,6 +63,10 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
+# Names that secrets are assigned to, and such an assignment.
+_SECRET_NAMES = ("token", "password", "passwd", "secret", "api_key", "api-key", "apikey", "access_key", "private_key")
+_ASSIGNED = re.compile(rf"(?:{'|'.join(_SECRET_NAMES)})[\"']?[ \t]*[:=][ \t]*[\"']?([^\s\"',;]{{7,}}[A-Za-z0-9+/=])", re.IGNORECASE)
+
 _MARKS = np.zeros(256, bool)
 _MARKS[[ord("@"), *range(48, 58)]] = True
 
@@ -140,8 +147,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(kind, a, b) for kind, find in zip(KINDS, (_emails, _ips, _cards, _phones), strict=True) for a, b in find(text)]
 
 
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    low = text.lower()
+    if any(x in low for x in _SECRET_NAMES):
+        for found in _ASSIGNED.finditer(text):
+            if any("0" <= x <= "9" for x in found[1]):
+                yield found.span(1)
+
+
+def all_spans(text: str) -> list[tuple[str, int, int]]:
+    """base_spans(), and behind them those of secrets."""
+    return [*base_spans(text), *((SECRET, a, b) for a, b in _secrets(text))]
+
+
 def _marked(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows with a digit or an at sign; no other row has a base match."""
+    """Rows with a digit or an at sign; no other row has a span."""
     sums = np.concatenate([[0], np.cumsum(_MARKS[data])])
     return np.diff(sums[offsets]) > 0
 
@@ -211,7 +231,7 @@ def _outer(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     found, lows, highs = {}, [], []
     for k in np.flatnonzero(_marked(data, offsets)).tolist():
         text = data[offsets[k] : offsets[k + 1]].tobytes().decode()
-        if spans := base_spans(text):
+        if spans := all_spans(text):
             found[k] = _mentions(text, spans)
             a, b = _merged(spans)
             lows.append(np.array(a) + begins[k]), highs.append(np.array(b) + begins[k])
@@ -229,7 +249,7 @@ def _showing(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> tuple[
     for k in np.flatnonzero(_marked(data, offsets)).tolist():
         own = data[offsets[k] : offsets[k + 1]]
         text = own.tobytes().decode()
-        if (spans := base_spans(text)) and known[_mentions(text, spans)[0] % _BUCKETS].any():
+        if (spans := all_spans(text)) and known[_mentions(text, spans)[0] % _BUCKETS].any():
             kept.append(own)
     if not kept:
         return data[:0], np.zeros(1, np.int64)
@@ -401,7 +421,7 @@ def _outside(terms: list[tuple[int, int, int]], spans: list[tuple[str, int, int]
 
 
 def _written(text: str, spans: list[tuple[str, int, int]], terms: list[tuple[int, int, int]], shares: np.ndarray, remove: float) -> str:
-    """text with base spans replaced by their kind, terms by their shape, and the most disclosing terms removed."""
+    """text with spans replaced by their kind, terms by their shape, and the most disclosing terms removed."""
     out, at = [], 0
     every = [(a, b, f"[{kind.upper()}]") for kind, a, b in spans]
     for a, b, k in terms:
@@ -429,13 +449,13 @@ class Sanitiser:
         self.keys, self.shares = np.array([x for x, _ in rows], np.int64), np.array([x for _, x in rows], np.float64)
 
     def rows(self, batch: pa.RecordBatch, column: str, where: str) -> Iterator[tuple[list, list[list[tuple[str, int, int]]], list[list[tuple[int, int, int]]], np.ndarray]]:
-        """By block: its first row and count, base spans and disclosing terms by row, and the disclosures that terms point to."""
+        """By block: its first row and count, spans and disclosing terms by row, and the disclosures that terms point to."""
         at = batch.schema.get_field_index(where)
         for row, data, offsets in text_blocks(batch, column, _BLOCK):
             n = len(offsets) - 1
             spans: list = [[] for _ in range(n)]
             for k in np.flatnonzero(_marked(data, offsets)):
-                spans[k] = base_spans(data[offsets[k] : offsets[k + 1]].tobytes().decode())
+                spans[k] = all_spans(data[offsets[k] : offsets[k + 1]].tobytes().decode())
             terms: list = [[] for _ in range(n)]
             shares = self.shares
             if self.joined:
@@ -474,7 +494,7 @@ class Sanitiser:
         return docs.withColumn(name, F.xxhash64(text)).join(found, name, "left").select(*docs.columns, where), where
 
     def spans(self, docs: DataFrame) -> DataFrame:
-        """Per document of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans, text (sanitised)."""
+        """Per document of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, n_secret, n_term, n_spans, base_sha256 and spans."""
         own = self._shipped()
         rows_of, where = self.located(_texts(docs), "text")
 
@@ -482,14 +502,14 @@ class Sanitiser:
             for batch in batches:
                 for (row, n), spans, terms, _ in own.rows(batch, "text", where):
                     counts = [Counter(kind for kind, _, _ in x) for x in spans]
-                    base = [_joined(x) for x in spans]
+                    base = [_joined([y for y in x if y[0] != SECRET]) for x in spans]
                     every = [_joined([*x, *(("term", a, b) for a, b, _ in y)]) for x, y in zip(spans, terms, strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(row, n), *(pa.array([c[kind] for c in counts], pa.int64()) for kind in KINDS), pa.array([len(x) for x in terms], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in base]), pa.array(every)],
-                        names=["doc_id", *(f"n_{x}" for x in KINDS), "n_term", "base_sha256", "spans"],
+                        [batch.column(0).slice(row, n), *(pa.array([c[kind] for c in counts], pa.int64()) for kind in (*KINDS, SECRET)), pa.array([len(x) for x in terms], pa.int64()), pa.array([len(x) + len(y) for x, y in zip(spans, terms, strict=True)], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in base]), pa.array(every)],
+                        names=["doc_id", *(f"n_{x}" for x in (*KINDS, SECRET)), "n_term", "n_spans", "base_sha256", "spans"],
                     )
 
-        return rows_of.mapInArrow(rows, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_term long, base_sha256 string, spans string")
+        return rows_of.mapInArrow(rows, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_secret long, n_term long, n_spans long, base_sha256 string, spans string")
 
     def sanitise(self, docs: DataFrame) -> DataFrame:
         """docs with personal data and disclosing terms taken out of text, and n_chars, where there is one, counted anew."""

@@ -113,6 +113,18 @@ def test_disclosure_is_that_of_plain_counts(spark):
         assert abs(found[h] - want[w]) < 1e-8, w
 
 
+def test_secrets_are_protected_but_no_base_spans(spark):
+    rows = [(1, 'set token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" here'), (2, "PASSWORD=7695f98391c04c2f5d und"), (3, "the token: something else entirely"), (4, "a token of 12345678 and password: abc12"), (5, "api_key: 'Zk9-long/Value=='; mail a@b.c")]
+    docs = spark.createDataFrame(rows, DOC)
+    found = {r["doc_id"]: r for r in sanitiser(docs).spans(docs).collect()}
+    assert [found[k]["spans"] for k in range(1, 6)] == ["secret:13:53", "secret:9:27", "", "", "email:34:39,secret:10:26"]
+    assert [(found[k]["n_secret"], found[k]["n_spans"]) for k in range(1, 6)] == [(1, 1), (1, 1), (0, 0), (0, 0), (1, 2)]
+    for k, t in rows:
+        assert found[k]["base_sha256"] == hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c in plain_spans(t)).encode()).hexdigest()
+    texts = {r["doc_id"]: r["text"] for r in sanitiser(docs).sanitise(docs).collect()}
+    assert texts[1] == 'set token = "[SECRET]" here' and texts[2] == "PASSWORD=[SECRET] und" and texts[4] == rows[3][1]
+
+
 def test_terms_beyond_the_broadcast_are_joined(spark, monkeypatch):
     from lodestream.llm import private
 
