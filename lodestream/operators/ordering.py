@@ -53,11 +53,12 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
     return placed.select(*df.columns, name)
 
 
-def with_group_position(df: DataFrame, group: str, order: list[Column], name: str = "position") -> DataFrame:
-    """df with each row's place (from 0) in its group; a group may be larger than a task."""
+def with_group_position(df: DataFrame, group: str, order: list[Column], name: str = "position", size: str | None = None) -> DataFrame:
+    """df with each row's place (from 0) in its group, and the group's size if a name is given; a group may be larger than a task."""
     rows = with_position(df, [F.col(group), *order], "_place")
-    first = rows.groupBy(F.col(group).alias("_group")).agg(F.min("_place").alias("_first"))
-    return rows.join(first, rows[group].eqNullSafe(first["_group"])).withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_group", "_first")
+    first = rows.groupBy(F.col(group).alias("_group")).agg(F.min("_place").alias("_first"), F.count("*").alias(size or "_size"))
+    placed = rows.join(first, rows[group].eqNullSafe(first["_group"])).withColumn(name, F.col("_place") - F.col("_first"))
+    return placed.select(*df.columns, name, *([size] if size else []))
 
 
 def running_min(df: DataFrame, order: list[Column], value: str, name: str = "best") -> DataFrame:
@@ -103,12 +104,10 @@ def stripes(shards: DataFrame, seed: int, epoch: int, key: str, world: int, work
 
 def interleaved(df: DataFrame, source: str, order: list[Column], seed: int, name: str = "position") -> DataFrame:
     """Sources mixed evenly, each in its own order and each row once: by the share of its source that a row has reached."""
-    placed = with_group_position(df, source, order, "_at_source")
-    sizes = placed.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("_size"))
-    placed = placed.join(sizes, placed[source].eqNullSafe(sizes["_source"]))
+    placed = with_group_position(df, source, order, "_at_source", "_size")
     share = (F.col("_at_source") * 2 + 1) / (F.col("_size") * 2)
     ties = order_key(seed, 0, F.coalesce(F.col(source).cast("string"), F.lit("")))
-    return with_position(placed.withColumn("_share", share), [F.col("_share"), ties, F.col("_at_source")], name).drop("_source", "_size", "_share", "_at_source")
+    return with_position(placed.withColumn("_share", share), [F.col("_share"), ties, F.col("_at_source")], name).drop("_size", "_share", "_at_source")
 
 
 def synchronised(df: DataFrame, rank: str, order: list[Column], name: str = "step") -> DataFrame:
@@ -120,10 +119,8 @@ def synchronised(df: DataFrame, rank: str, order: list[Column], name: str = "ste
 
 def last_kept(df: DataFrame, group: str, order: list[Column], n: int, protected: Column) -> DataFrame:
     """The last n rows of each group, and those that are protected."""
-    sizes = df.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_size"))
-    placed = with_group_position(df, group, order, "_at")
-    placed = placed.join(sizes, placed[group].eqNullSafe(sizes["_group"]))
-    return placed.filter((F.col("_at") >= F.col("_size") - n) | F.coalesce(protected, F.lit(False))).drop("_group", "_size", "_at")
+    placed = with_group_position(df, group, order, "_at", "_size")
+    return placed.filter((F.col("_at") >= F.col("_size") - n) | F.coalesce(protected, F.lit(False))).drop("_size", "_at")
 
 
 def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:

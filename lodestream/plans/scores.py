@@ -349,3 +349,29 @@ def index_in_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", evaluation.index_in_name(F.concat(F.lit("item-x-"), (F.col("doc_id") % 50).cast("string"))).alias("at"))
     items = table(spark, sf_dir, "benchmark").select("item_id", sha256(F.col("text")).alias("item_sha256"))
     return docs.join(items, F.col("at") == F.col("item_id")).select("doc_id", "item_id", "item_sha256")
+
+
+@query(
+    "normalise_shapes",
+    """
+SELECT 'letters' AS shape, 'q' || item_id AS sample_id, 'ask ' || item_id AS question, 'one|two' AS choices, 'a/' || item_id || '.wav' AS audio FROM benchmark
+UNION ALL SELECT 'map', 'clip' || item_id || '.FLAC', 'ask ' || item_id, 'x|z', 'clip' || item_id || '.FLAC' FROM benchmark
+UNION ALL SELECT 'none', sha256('{"choice_a":"unused","choices":[],"question":"ask ' || item_id || '"}'), 'ask ' || item_id, '', NULL FROM benchmark
+""",
+)
+def normalise_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark rows of three further shapes: lettered choices and audio as a struct, choices as a map, and no id, choices or audio."""
+    items = table(spark, sf_dir, "benchmark")
+    n = F.col("item_id").cast("string")
+    ask = F.concat(F.lit("\n ask "), n, F.lit("\t"))
+    none = F.array().cast("array<string>")
+    shapes = {
+        "letters": items.select(F.concat(F.lit("q"), n).alias("question_id"), F.lit(" ").alias("question"), ask.alias("prompt"), F.lit("one").alias("choice_a"), F.lit(" ").alias("choice_b"), F.lit("two").alias("choice_c"), F.struct(F.lit(b"").alias("bytes"), F.concat(F.lit("a/"), n, F.lit(".wav")).alias("path")).alias("audio")),
+        "map": items.select(n.alias("uid"), ask.alias("text"), F.create_map(F.lit("A"), F.lit("x"), F.lit("B"), F.lit(""), F.lit("C"), F.lit("z")).alias("options"), F.concat(F.lit("clip"), n, F.lit(".FLAC")).alias("audio_id")),
+        "none": items.select(F.concat(F.lit("ask "), n).alias("question"), none.alias("choices"), F.lit("unused").alias("choice_a")),
+    }
+    parts = []
+    for shape, raw in shapes.items():
+        rows = evaluation.normalised(raw)
+        parts.append(rows.select(F.lit(shape).alias("shape"), "sample_id", "question", F.array_join("choices", "|").alias("choices"), F.col("audio")[0].alias("audio")))
+    return parts[0].union(parts[1]).union(parts[2])
