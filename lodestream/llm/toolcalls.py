@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import join_hot, store
 
 #: The schema of the tool that turns of plain chats are read as calls of.
 RESPOND = {
@@ -210,8 +210,8 @@ def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.lower(F.trim("role")).alias("role"), F.col("text").cast("string").alias("text"))
     name = _call_id(F.col("turn"))
     users = rows.filter(f"role = 'user' and {_PLACED}").withColumn("call_id", name)
-    first = users.groupBy("conv_id").agg(F.min("turn").alias("first"))
-    users = users.join(first, "conv_id")
+    first = store(users.groupBy("conv_id").agg(F.min("turn").alias("first"), F.count("*").alias("n")), "first-calls")
+    users = join_hot(users, first, "conv_id")
     context = F.when(F.col("first") < F.col("turn"), _call_id(F.col("first")))
     arguments = F.to_json(F.struct(context.alias("context"), F.col("text").alias("prompt"), F.col("turn").alias("turn")))  # leaves nulls out
     calls = users.select("conv_id", "turn", "call_id", F.lit("respond").alias("name"), arguments.alias("arguments"), F.filter(F.array(context), lambda x: x.isNotNull()).alias("after"))
