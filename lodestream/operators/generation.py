@@ -89,6 +89,12 @@ def batches(df: DataFrame, position: str, size: int) -> DataFrame:
     return df.withColumn("batch", F.floor(F.col(position) / size).cast("long"))
 
 
+def batch_sizes(df: DataFrame, position: str, size: int) -> DataFrame:
+    """batch, n_rows and n_padding (what its last one lacks) of batches of so many consecutive rows."""
+    each = batches(df, position, size).groupBy("batch").agg(F.count("*").alias("n_rows"))
+    return each.withColumn("n_padding", (F.lit(size) - F.col("n_rows")).cast("long"))
+
+
 def length_buckets(df: DataFrame, length: str, position: str) -> DataFrame:
     """length, n_rows, first and last position of rows of equal length."""
     return df.groupBy(length).agg(F.count("*").alias("n_rows"), F.min(position).alias("first"), F.max(position).alias("last"))

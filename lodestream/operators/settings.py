@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import ContractError
+from ..sources.tables import ContractError, exists
 
 _DIGEST, _REVISION = re.compile("[0-9a-fA-F]{64}"), re.compile("[0-9a-f]{40}")
 # Providers of targets, and the modes of prompts that go with expanded ones and with plain ones.
@@ -112,6 +112,25 @@ def require_settings(settings: dict, rules: Rules) -> dict:
     return settings
 
 
+def require_source(spark: SparkSession, provider: str, providers: Iterable[str], splits: list[str], overlay: str | None = None) -> None:
+    """Raises unless a catalog's source can be read: a known provider, some splits, and an overlay that exists if one is named."""
+    if provider not in set(providers):
+        raise ContractError(f"unknown provider of targets: {provider}")
+    if not splits:
+        raise ContractError("no split is given")
+    if overlay is not None and not exists(spark, overlay):
+        raise ContractError(f"the overlay {overlay} isn't there")
+
+
+def require_split(split: str, forbidden: Iterable[str], guarded: Iterable[str], allow_guarded: bool = False) -> str:
+    """split, unless it must never be read or, being guarded, isn't allowed for this run."""
+    if split in set(forbidden):
+        raise ContractError(f"the split {split} must not be read")
+    if split in set(guarded) and not allow_guarded:
+        raise ContractError(f"the split {split} is read only where that is allowed by name")
+    return split
+
+
 def outside(values: Column, allowed: Iterable[str]) -> Column:
     """Those of an array's values that an enumeration lacks: empty where it is a subset."""
     return F.array_except(values, F.array(*(F.lit(x) for x in allowed)))

@@ -27,7 +27,7 @@ def _outcome(run: Callable[[], object]) -> str:
 @query(
     "checks_that_stop",
     """
-SELECT unnest(['apart', 'apart_of_others', 'bad_samples', 'bad_samples_beyond', 'covered', 'missing_path', 'none', 'oversized', 'paired', 'repeated', 'same_lengths', 'unique']) AS name, unnest([
+SELECT unnest(['apart', 'apart_of_others', 'bad_samples', 'bad_samples_beyond', 'covered', 'missing_path', 'none', 'oversized', 'paired', 'repeated', 'same_lengths', 'unique', 'source', 'unknown_provider', 'without_splits', 'missing_overlay', 'forbidden_split', 'guarded_split', 'guarded_split_allowed']) AS name, unnest([
   CASE WHEN (SELECT count(*) FILTER (quality = 1 AND toxic = 1) FROM labels) > 0 THEN 'LeakageError' ELSE 'ok' END, 'ok', 'ok',
   CASE WHEN (SELECT count(*) FILTER (value IS NULL OR value <= 0) FROM events) > 0 THEN 'LimitExceeded' ELSE 'ok' END,
   CASE WHEN (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) > 0 THEN 'MissingRows' ELSE 'ok' END,
@@ -35,7 +35,7 @@ SELECT unnest(['apart', 'apart_of_others', 'bad_samples', 'bad_samples_beyond',
   'OversizedExample',
   CASE WHEN (SELECT count(*) FROM (SELECT conv_id FROM conversations WHERE role = 'user' GROUP BY 1 HAVING count(*) > 1)) > 0 THEN 'MissingRows' ELSE 'ok' END,
   CASE WHEN (SELECT count(*) - count(DISTINCT user_id) FROM events) > 0 THEN 'DuplicateKey' ELSE 'ok' END,
-  CASE WHEN (SELECT count(*) FILTER (n_chars IS DISTINCT FROM length(text)) FROM documents) > 0 THEN 'ContractError' ELSE 'ok' END, 'ok']) AS outcome
+  CASE WHEN (SELECT count(*) FILTER (n_chars IS DISTINCT FROM length(text)) FROM documents) > 0 THEN 'ContractError' ELSE 'ok' END, 'ok', 'ok', 'ContractError', 'ContractError', 'ContractError', 'ContractError', 'ContractError', 'ok']) AS outcome
 """,
 )
 def checks_that_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,13 @@ def checks_that_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
         "same_lengths": lambda: validation.require_none(validation.faults(docs, {"length": F.col("n_chars") == F.length("text")})),
         "oversized": lambda: packing.packed(packing.windows(lengths(spark, sf_dir), "worker", [F.col("doc_id")], 64), "worker", "length", 1, oversized="error"),
         "paired": lambda: catalog.paired_sources(turns, "conv_id", "role", "assistant", "user"),
+        "source": lambda: settings.require_source(spark, "own", ["own", "overlay"], ["dev"], f"{sf_dir}/documents.parquet"),
+        "unknown_provider": lambda: settings.require_source(spark, "other", ["own"], ["dev"]),
+        "without_splits": lambda: settings.require_source(spark, "own", ["own"], []),
+        "missing_overlay": lambda: settings.require_source(spark, "own", ["own"], ["dev"], f"{sf_dir}/nothing.parquet"),
+        "forbidden_split": lambda: settings.require_split("test", ["test"], ["holdout"]),
+        "guarded_split": lambda: settings.require_split("holdout", ["test"], ["holdout"]),
+        "guarded_split_allowed": lambda: settings.require_split("holdout", ["test"], ["holdout"], True),
         "missing_path": lambda: catalog_path(spark, sf_dir, "nowhere", "nothing"),
     }
     return spark.createDataFrame([(name, _outcome(run)) for name, run in runs.items()], "name string, outcome string")

@@ -278,6 +278,14 @@ def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generation.length_buckets(rows, "n_chars", "place").join(batches, "n_chars")
 
 
+@query("batch_sizes", "SELECT place // 48 AS batch, count(*) AS n_rows, 48 - count(*) AS n_padding FROM (SELECT row_number() OVER (ORDER BY page_id) - 1 AS place FROM pages) GROUP BY 1")
+def batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 48 consecutive pages, the last one filled up."""
+    from ..operators.ordering import with_position
+
+    return generation.batch_sizes(with_position(table(spark, sf_dir, "pages").select("page_id"), [F.col("page_id")]), "position", 48)
+
+
 @query(
     "in_flight_waves",
     """
