@@ -63,9 +63,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Has the file system delete a folder when the driver's JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read again: a cut in its lineage that outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestream-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/lodestream-{spark.sparkContext.applicationId}"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _delete_at_end(spark, base)
     return spark.read.schema(df.schema).parquet(path)
