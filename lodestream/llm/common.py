@@ -37,11 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts its lineage.
 
-    Spark's output committer keeps one result per task, whatever retries or lost executors there were.
+    Spark's output committer keeps one result per task, whatever retries or lost executors there were. The application's tables are
+    deleted when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestream-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/lodestream-{spark.sparkContext.applicationId}"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(base)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
