@@ -210,6 +210,8 @@ def keep_known(docs: DataFrame, network: Network | None) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores, noise = _predicted(network, batch, text)
-            yield batch.filter(pa.array([n != UNKNOWN and s >= other for n, s, other in zip(names, scores, noise, strict=True)], pa.bool_()))
+            kept = pa.array([n != UNKNOWN and s >= other for n, s, other in zip(names, scores, noise, strict=True)], pa.bool_())
+            for x in range(0, batch.num_rows, 512):
+                yield batch.slice(x, 512).filter(kept.slice(x, 512))
 
     return docs.mapInArrow(rows, docs.schema)

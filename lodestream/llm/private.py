@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -445,8 +446,10 @@ class Sanitiser:
     def __init__(self, terms: DataFrame, remove: float = REMOVE):
         self.terms, self.remove = terms, remove
         self.joined = terms.limit(BROADCAST_TERMS + 1).count() > BROADCAST_TERMS
-        rows = [] if self.joined else sorted((r["hash"], r["disclosure"]) for r in terms.select("hash", "disclosure").collect())
-        self.keys, self.shares = np.array([x for x, _ in rows], np.int64), np.array([x for _, x in rows], np.float64)
+        rows = terms.select("hash", "disclosure").filter(F.lit(not self.joined)).toArrow()  # at most BROADCAST_TERMS
+        keys, shares = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        order = np.argsort(keys)
+        self.keys, self.shares = keys[order], shares[order]
 
     def rows(self, batch: pa.RecordBatch, column: str, where: str) -> Iterator[tuple[list, list[list[tuple[str, int, int]]], list[list[tuple[int, int, int]]], np.ndarray]]:
         """By block: its first row and count, spans and disclosing terms by row, and the disclosures that terms point to."""
@@ -520,18 +523,17 @@ class Sanitiser:
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = batch.schema.get_field_index(text)
-                old = batch.column(at)
-                new = old.to_pylist()
                 for (row, n), spans, terms, shares in own.rows(batch, text, where):
-                    for i in range(n):
-                        if spans[i] or terms[i]:
-                            new[row + i] = _written(new[row + i], spans[i], terms[i], shares, own.remove)
-                columns = [batch.column(k) for k in range(len(schema))]
-                columns[at] = pa.array(new, old.type)
-                if "n_chars" in schema.names:
-                    k = schema.names.index("n_chars")
-                    columns[k] = pa.array([y if x is None else len(x) for x, y in zip(new, columns[k].to_pylist(), strict=True)], columns[k].type)
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                    columns = [batch.column(k).slice(row, n) for k in range(len(schema))]
+                    if changed := [i for i in range(n) if spans[i] or terms[i]]:
+                        new = columns[at].to_pylist()
+                        for i in changed:
+                            new[i] = _written(new[i], spans[i], terms[i], shares, own.remove)
+                        columns[at] = pa.array(new, columns[at].type)
+                    if "n_chars" in schema.names:
+                        k = schema.names.index("n_chars")
+                        columns[k] = pc.coalesce(pc.utf8_length(columns[at]).cast(columns[k].type), columns[k])
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         return rows_of.mapInArrow(rows, schema)
 
