@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import perplexity
 from ..operators import packing
 from ..operators.ordering import with_group_position
 from ..sources.tables import shared_dir, table
 from ..streaming.commits import commit_once
-from ..streaming.epochs import updates
+from ..streaming.drain import drained
+from ..streaming.epochs import evaluated, updates
 from ..streaming.planner import end_marks, planned
 from .bridges import lengths
 from .packs import SMALL_CAPACITY, WINDOW
@@ -66,3 +68,22 @@ def epoch_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/lodestream-{spark.sparkContext.applicationId}/epochs-{uuid.uuid4().hex}"
     return updates(stream, "event_id", "w", 1e18, 7, 400, path)
+
+
+@query("drained_stream", "SELECT doc_id, n_chars FROM documents")
+def drained_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in files, a file a batch, streamed until none is left."""
+    base = f"{shared_dir(spark)}/lodestream-{spark.sparkContext.applicationId}/drain-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars")).repartition(4, "doc_id").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(table(spark, sf_dir, "documents").select("doc_id", "n_chars").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    return drained(stream, f"{base}/out")
+
+
+@query(
+    "evaluation_points",
+    "WITH u AS (SELECT event_id // 10 AS update, count(*) AS n_items, round(avg(value), 6) AS nll FROM events GROUP BY 1) SELECT update, n_items, round(exp(least(nll / 10, 20)), 4) AS perplexity FROM u WHERE (update + 1) % 5 = 0",
+)
+def evaluation_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An evaluation after every fifth update: the feature is the interval."""
+    done = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 10).cast("long").alias("update")).agg(F.count("*").alias("n_items"), F.round(F.avg("value"), 6).alias("nll"))
+    return evaluated(done, 5, lambda rows: rows.select("update", "n_items", F.round(perplexity(F.col("nll") / 10), 4).alias("perplexity")))

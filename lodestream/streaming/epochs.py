@@ -32,3 +32,10 @@ def updates(stream: Callable[[], DataFrame], key: str, weight: str, target: floa
     for x in parts[1:]:
         out = out.union(x)
     return out
+
+
+def evaluated(done: DataFrame, every: int, evaluate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """evaluate() over the rows of updates (update, ...) after which an evaluation is due: each that completes so many."""
+    if every <= 0:
+        raise ContractError("evaluations must be some updates apart")
+    return evaluate(done.filter((F.col("update") + 1) % every == 0))
