@@ -5,8 +5,10 @@ token or password) are found by pattern. They are the protected entities: for ea
 terms of all documents that show it are counted, and a term's disclosure of an entity is PMI(entity; term) / IC(entity), which is 1
 for a term that occurs with that entity alone and 0 for one that says nothing of it. It is taken twice, and the higher one holds:
 over the words next to a mention (as many as CONTEXT_WORDS on a side) and over whole documents, where the entity's share is that of
-the documents showing it. A term whose disclosure reaches a threshold, seen in enough different contexts, is generalised or, from a
-higher one, removed, wherever it occurs. A context is the passage that spans a mention's next words and the term, so that copies
+the documents showing it. A term whose disclosure reaches a threshold, that leaves at most HIDDEN bits of the entity hidden, and that was seen in
+enough different contexts, is generalised or, from a higher threshold, removed, wherever it occurs. The contexts are enough if there
+are SUPPORT of them and chance wouldn't bring them about: each weighs as many bits as it is unlikely that an occurrence falls to the
+entity, and together they must outweigh the corpus's terms, all of which might have met it, by EVIDENCE bits. A context is the passage that spans a mention's next words and the term, so that copies
 of one passage count once; a term has one for each mention that is the nearest to it. Terms inside entities aren't counted.
 
 A term is a run of letters, marks, digits and connectors of any script, compared under Unicode's full case folding; soft hyphens
@@ -23,6 +25,7 @@ any number in a match are read whole; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import unicodedata
 from bisect import bisect_right
@@ -48,6 +51,8 @@ CONTEXT_WORDS = 8
 GRAMS = 4
 #: Different contexts that must show a term beside an entity.
 SUPPORT = 3
+#: Bits by which contexts must outweigh the corpus, and bits of an entity that a term may leave hidden: with 1 it is the more likely one.
+EVIDENCE, HIDDEN = 10.0, 1.0
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.9, 0.97
 _BUCKETS = 1 << 20
@@ -360,12 +365,14 @@ def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, support: i
     beside = pairs.filter(F.col("near_contexts") >= support).groupBy("id").agg(F.max("near").alias("neighbours"))
     pairs = pairs.join(beside, "id", "left")
 
-    def share(both: str, mass: Column) -> Column:
-        bits = F.log2(F.lit(float(total)) / mass)
-        return F.when((bits > 0) & (F.col(both) > 0), 1 - F.log2(F.greatest(F.col("occurs") / F.col(both), F.lit(1.0))) / bits).otherwise(0.0)
+    def share(both: str, mass: Column, contexts: str, places: Column) -> Column:
+        bits, hidden = F.log2(F.lit(float(total)) / mass), F.log2(F.greatest(F.col("occurs") / F.col(both), F.lit(1.0)))
+        evidence = F.col(contexts) * F.log2(F.lit(float(total)) / places)
+        sound = (F.col(contexts) >= support) & (evidence >= math.log2(max(total, 1)) + EVIDENCE) & (hidden <= HIDDEN)
+        return F.when((bits > 0) & (F.col(both) > 0) & sound, 1 - hidden / bits).otherwise(0.0)
 
-    near = F.when(F.col("near_contexts") >= support, share("near", F.greatest("mentions", F.coalesce("neighbours", F.lit(0))))).otherwise(0.0)
-    disclosure = F.round(F.greatest(near, share("both", F.col("terms"))), 9)
+    near = share("near", F.greatest("mentions", F.coalesce("neighbours", F.lit(0))), "near_contexts", F.least(F.col("mentions") * 2 * CONTEXT_WORDS, F.col("terms")))
+    disclosure = F.round(F.greatest(near, share("both", F.col("terms"), "contexts", F.col("terms"))), 9)
     # A term occurs at least as often as in the texts met, so that no term is counted that can't reach the bound.
     least = met.filter("id = 0").select("hash", F.col("n").alias("occurs"))
     pairs = store(pairs.join(least, "hash").filter(disclosure >= generalise).drop("occurs"), "candidates")

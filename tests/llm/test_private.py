@@ -86,11 +86,13 @@ def plain_disclosure(texts, least=0.9, support=3, near=8):
                 seen.setdefault(w, {})[about] = seen.get(w, {}).get(about, False) or any(n for _, _, n in each)
         beside = {w: sum(x.values()) for w, x in seen.items() if len(x) >= support}
         neighbours = max((close[w] for w, n in beside.items() if n >= support), default=0)
+        contexts_of = seen
         for w, n in beside.items():
-            def share(joint, m):
-                bits = math.log2(total / m)
-                return 1 - math.log2(max(occurs[w] / joint, 1)) / bits if bits > 0 and joint else 0.0
-            own = max(share(close[w], max(mentions, neighbours)) if n >= support else 0.0, share(both[w], mass))
+            def share(joint, m, n, places):
+                bits, hidden = math.log2(total / m), math.log2(max(occurs[w] / joint, 1)) if joint else 0.0
+                sound = joint and bits > 0 and n >= support and n * math.log2(total / places) >= math.log2(total) + 10 and hidden <= 1
+                return 1 - hidden / bits if sound else 0.0
+            own = max(share(close[w], max(mentions, neighbours), n, min(16 * mentions, mass)), share(both[w], mass, len(contexts_of[w]), mass))
             best[w] = max(best.get(w, 0.0), own)
     return {w: round(x, 9) for w, x in best.items() if round(x, 9) >= least}
 
