@@ -234,7 +234,7 @@ def request_chunks(df: DataFrame, stream: str, order: list[str], weight: str, mo
 
     def step(state, value):
         number, items, total = state or (0, 0, 0)
-        if items and (items >= most_items or total + value > budget):
+        if items and not (items < most_items and total + value <= budget):  # so that NaN exceeds it
             number, items, total = number + 1, 0, 0
         return (number, items + 1, total + value), number
 
@@ -263,15 +263,18 @@ def accumulation_groups(df: DataFrame, stream: str, order: list[str], weight: st
     return _streamed(df, stream, order, weight, name, step)
 
 
-def in_flight(df: DataFrame, stream: str, order: list[str], seconds: str, capacity: float, most_items: int, name: str = "wave") -> DataFrame:
-    """Consecutive requests of a stream in waves whose audio is held at once: no wave exceeds capacity seconds.
+def in_flight(df: DataFrame, stream: str, order: list[str], seconds: str, capacity: float, most_items: int, name: str = "wave", oversized: str = "error") -> DataFrame:
+    """Consecutive requests of a stream in waves whose audio is held at once: no wave of several requests exceeds capacity seconds.
 
-    A request counts a sample at least; one that exceeds the capacity by itself is an error.
+    A request counts a sample at least; one that exceeds the capacity by itself is an error, or has a wave of its own if oversized is
+    "alone".
     """
     if capacity <= 0:
         raise ContractError("the capacity must be positive")
+    if oversized not in ("error", "alone"):
+        raise ValueError(f"unknown way with oversized requests: {oversized}")
     charged = df.withColumn("_charge", F.greatest(F.coalesce(F.col(seconds).cast("double"), F.lit(0.0)), F.lit(1.0 / RATE)))
-    if bad := charged.filter(F.col("_charge") > capacity + 1e-9).select("_charge").head(1):
+    if oversized == "error" and (bad := charged.filter(F.col("_charge") > capacity + 1e-9).select("_charge").head(1)):
         raise ContractError(f"a request of {bad[0][0]:.3f} seconds exceeds {capacity:.3f}")
     return request_chunks(charged, stream, order, "_charge", most_items, capacity + 1e-9, name).drop("_charge")
 
