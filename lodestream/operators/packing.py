@@ -149,7 +149,9 @@ class _Chunks:
 def _by_blocks(df: DataFrame, stream: str, order: list[str], weight: str, name: str, most_items: int, behind, block_rows: int) -> DataFrame:
     """Numbers chunks of at most most_items rows by blocks of a stream."""
     block_rows = max(block_rows, 4 * most_items)
-    kind, names = dict(df.dtypes)[stream], [*df.columns, name]
+    kind, names, of_stream = dict(df.dtypes)[stream], [*df.columns, name], "_stream"
+    while of_stream in names:  # the caller's own may be named so
+        of_stream = f"_{of_stream}"
     rows = with_group_position(df, stream, [F.col(c) for c in order], "_at").withColumn("_block", F.floor(F.col("_at") / block_rows).cast("long"))
     narrow = rows.select(stream, "_block", "_at", F.coalesce(F.col(weight), F.lit(0)).alias("_w"))
     ahead = narrow.filter((F.col("_at") % block_rows < most_items) & (F.col("_block") > 0)).withColumn("_block", F.col("_block") - 1)
@@ -183,8 +185,8 @@ def _by_blocks(df: DataFrame, stream: str, order: list[str], weight: str, name:
 
     # One row for each block and place where its first chunk may begin: a stream's are few, and read in order.
     starts = tables.repartition(stream).sortWithinPartitions(stream, "_block", "_entry").mapInArrow(composed, f"`{stream}` {kind}, _block long, _entry long, _first long")
-    starts = starts.select(F.col(stream).alias("_stream"), F.col("_block").alias("_of"), "_entry", "_first")
-    joined = rows.join(starts, rows[stream].eqNullSafe(starts["_stream"]) & (rows["_block"] == starts["_of"])).withColumn(name, F.lit(0).cast("long"))
+    starts = starts.select(F.col(stream).alias(of_stream), F.col("_block").alias("_of"), "_entry", "_first")
+    joined = rows.join(starts, rows[stream].eqNullSafe(starts[of_stream]) & (rows["_block"] == starts["_of"])).withColumn(name, F.lit(0).cast("long"))
 
     def numbered(group: pa.Table) -> pa.Table:
         group = group.sort_by("_at")

@@ -2,6 +2,7 @@
 
 import duckdb
 
+from lodestream.operators import packing
 from lodestream.plans import QUERIES, SQL
 
 
@@ -28,3 +29,10 @@ def test_requests_beyond_the_capacity_have_waves_of_their_own(spark, tmp_path):
     for r in rows:
         waves[r["stream"], r["wave"]].append(r["event_id"])
     assert len(rows) == 120 and all(len(x) == 1 for x in waves.values() if any(k % 11 in (3, 5, 7, 8) for k in x))
+
+
+def test_updates_of_a_stream_that_is_cut_into_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCKS_FROM", 0)
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 32)
+    rows = agree(spark, tmp_path, "epoch_updates", events="select k as event_id, 0 as user_id from range(1000) t(k)")
+    assert len(rows) == 400 and max(r["epoch"] for r in rows) == 2
