@@ -51,6 +51,11 @@ def append_metrics(rows: DataFrame, path: str) -> None:
     whole.select(F.to_json(F.struct(*sorted(whole.columns)), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
 
 
+def _base64(value: Column) -> Column:
+    """Base64 in one line: Spark's own breaks it after 76 characters, which a URI may not have."""
+    return F.translate(F.base64(value), "\r\n", "")
+
+
 def wav_uri(rows: DataFrame, channels: str, rate: int) -> DataFrame:
     """rows with a column uri: their channels (arrays of samples from -1 to 1, of equal length) as one, in 16-bit PCM, as the bytes themselves."""
     n, many = F.size(F.col(channels)[0]), F.size(channels)
@@ -64,9 +69,9 @@ def wav_uri(rows: DataFrame, channels: str, rate: int) -> DataFrame:
     body = F.array_join(F.transform(F.when(n > 0, level).otherwise(F.array().cast("array<int>")), lambda x: little(x, 2)), "")
     size = F.greatest(n, F.lit(0)) * 2
     head = F.concat(F.lit(b"RIFF".hex()), little(size + 36, 4), F.lit((b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16) + b"data").hex()), little(size, 4))
-    return rows.withColumn("uri", F.concat(F.lit("data:audio/wav;base64,"), F.base64(F.unhex(F.concat(head, body)))))
+    return rows.withColumn("uri", F.concat(F.lit("data:audio/wav;base64,"), _base64(F.unhex(F.concat(head, body)))))
 
 
 def data_uri(content: DataFrame, column: str, kind: str = "audio/wav") -> DataFrame:
     """content with a column uri that holds the bytes themselves."""
-    return content.withColumn("uri", F.concat(F.lit(f"data:{kind};base64,"), F.base64(column)))
+    return content.withColumn("uri", F.concat(F.lit(f"data:{kind};base64,"), _base64(F.col(column))))

@@ -1,9 +1,13 @@
 """Queries against their SQL on small tables with what larger ones hold."""
 
+import base64
+
 import duckdb
+from pyspark.sql import functions as F
 
 from lodestream.operators import packing
 from lodestream.plans import QUERIES, SQL
+from lodestream.sources import sinks
 
 
 def agree(spark, folder, name, **tables):
@@ -36,3 +40,11 @@ def test_updates_of_a_stream_that_is_cut_into_blocks(spark, tmp_path, monkeypatc
     monkeypatch.setattr(packing, "BLOCK_ROWS", 32)
     rows = agree(spark, tmp_path, "epoch_updates", events="select k as event_id, 0 as user_id from range(1000) t(k)")
     assert len(rows) == 400 and max(r["epoch"] for r in rows) == 2
+
+
+def test_long_uris_are_one_line(spark, tmp_path):
+    rows = agree(spark, tmp_path, "data_uris", pages="select k as page_id, case when k % 50 = 7 then null else repeat('ü/', k // 2) || 'x' end as url from range(130) t(k)")
+    assert len(rows) == 130
+    wave = spark.range(1).select(F.array(F.array_repeat(F.lit(0.5), 200)).alias("channels"))
+    uri = sinks.wav_uri(wave, "channels", 16000).first()["uri"]
+    assert uri.split() == [uri] and len(base64.b64decode(uri.split(",")[1], validate=True)) == 444
