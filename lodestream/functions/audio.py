@@ -15,6 +15,7 @@ CHUNK_FRAMES = 1500
 FRAMES_A_SECOND = 50
 LONGEST_SECONDS = 720
 MOST_SAMPLES = 1 << 62
+MOST_IN_HEADER = (1 << 36) - 1
 POLICIES = ("skip", "chunk_pad", "center_crop", "random_crop")
 
 

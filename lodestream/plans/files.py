@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.audio import MOST_IN_HEADER
 from ..functions.hashing import sha256
 from ..operators import catalog, evaluation, metrics, overlay
 from ..operators.dispatch import scorer_commands
@@ -67,13 +68,14 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _header(rate: Column, channels: Column, samples: Column) -> Column:
-    """The first 42 bytes of a FLAC file."""
+    """The first 42 bytes of a FLAC file; a count that their 36 bits can't hold is 0, which says that it is unknown."""
+    samples = F.when(samples.between(0, MOST_IN_HEADER), samples).otherwise(0).cast("long")
 
     def number(value: Column, digits: int) -> Column:
         return F.lpad(F.hex(value.cast("long")), digits, "0")
 
-    low = samples.cast("long").bitwiseAND(F.lit((1 << 32) - 1))
-    high = F.shiftleft(rate.cast("long"), 12) + F.shiftleft(channels.cast("long") - 1, 9) + F.lit(15 << 4).cast("long") + F.shiftrightunsigned(samples.cast("long"), 32)
+    low = samples.bitwiseAND(F.lit((1 << 32) - 1))
+    high = F.shiftleft(rate.cast("long"), 12) + F.shiftleft(channels.cast("long") - 1, 9) + F.lit(15 << 4).cast("long") + F.shiftrightunsigned(samples, 32)
     return F.unhex(F.concat(F.lit("664C614300000022"), F.lit("00" * 10), number(high, 8), number(low, 8), F.lit("00" * 16)))
 
 

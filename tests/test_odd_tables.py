@@ -5,8 +5,10 @@ import base64
 import duckdb
 from pyspark.sql import functions as F
 
+from lodestream.functions import audio
 from lodestream.operators import packing
 from lodestream.plans import QUERIES, SQL
+from lodestream.plans.files import _header
 from lodestream.sources import sinks
 
 
@@ -48,3 +50,12 @@ def test_long_uris_are_one_line(spark, tmp_path):
     wave = spark.range(1).select(F.array(F.array_repeat(F.lit(0.5), 200)).alias("channels"))
     uri = sinks.wav_uri(wave, "channels", 16000).first()["uri"]
     assert uri.split() == [uri] and len(base64.b64decode(uri.split(",")[1], validate=True)) == 444
+
+
+def test_counts_that_a_header_cannot_hold(spark, tmp_path):
+    sizes = "[0, 1, 68718, 68719, 68720, 128657, 1100000, 4398046511][1 + k % 8]"
+    rows = agree(spark, tmp_path, "flac_headers", documents=f"select k as doc_id, {sizes} as n_chars from range(90) t(k)")
+    assert len(rows) == 90 and max(r["samples"] or 0 for r in rows) > 1 << 36
+    counts = spark.createDataFrame([(5,), (68719476735,), (68719476736,), (-1,), (None,)], "n long")
+    found = counts.select(audio.streaminfo(_header(F.lit(48000), F.lit(8), F.col("n"))).alias("i")).select("i.*").collect()
+    assert [tuple(r) for r in found] == [(48000, 8, n) for n in (5, 68719476735, 0, 0, 0)]
